@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, piece_codec, quality_knn, quality_rules
+from . import fingerprints, line_dedup, mixing, piece_codec, quality_knn, quality_rules, url_filter
 from .common import table
 
 
@@ -30,6 +30,56 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs.select("doc_id", "text"), model).drop("text")
 
 
+ALLOW = [("org", "/"), ("com", "/fr/")]
+BLOCK = [("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), ALLOW, BLOCK).drop("url")
+
+
+OP4_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (
+  SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n
+  FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT parts.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN fit ON parts.page_id = fit.page_id AND n = 1
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+per_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM per_source),
+capped AS (
+  SELECT *, [3.0::DOUBLE, 1.0, 2.0][rank % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / [3.0::DOUBLE, 1.0, 2.0][rank % 3 + 1] AS ratio FROM ranked),
+leveled AS (
+  SELECT *, ((SELECT sum(source_size) FROM ranked)::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
+final AS (SELECT max(level) FILTER (WHERE level <= ratio) AS final FROM leveled),
+plan AS (SELECT source, source_size, rank, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * weight) END AS target FROM leveled, final),
+placed AS (
+  SELECT doc_id, size, source_size, rank, target, coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source),
+shaped AS (
+  SELECT *, least(1.0::DOUBLE, (2 * start + size)::DOUBLE / 2.0::DOUBLE / greatest(target, 1.0::DOUBLE)) AS share, [1.5::DOUBLE, 0.5, 1.0][rank % 3 + 1] AS a, [0.5::DOUBLE, 1.5, 1.0][rank % 3 + 1] AS b FROM placed)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - source_size - start)))::BIGINT AS taken,
+  CASE WHEN a = b THEN share ELSE (sqrt(greatest(a * a + (b - a) * (a + b) * share, 0.0::DOUBLE)) - a) / (b - a) END AS position
+FROM shaped
+"""
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_codec.read_model(piece_model_path())
     coded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
@@ -53,6 +103,11 @@ FROM lines LEFT JOIN listed USING (k) GROUP BY doc_id
 """
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", digest(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -63,8 +118,11 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_url_filter": op4_url_filter,
+    "op5_mixing": op5_mixing,
     "op7_piece_codec": op7_piece_codec,
     "op8_line_dedup": op8_line_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_quality_knn": op10_quality_knn,
 }
-SQL = {"op8_line_dedup": OP8_SQL}
+SQL = {"op4_url_filter": OP4_SQL, "op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL}
