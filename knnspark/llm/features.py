@@ -199,10 +199,10 @@ def calibrate(model: Linear, score: np.ndarray, y: np.ndarray) -> Linear:
 
 def fit_text_model(sample: DataFrame, kind: NGrams, steps: int = 40) -> Linear:
     """Fits on four fifths of labelled_sample() rows and calibrates on the rest (by hash of the id)."""
-    rows = sparse_rows(sample.withColumn("_part", F.abs(F.xxhash64(F.lit("part"), "_id")) % 5), ["_id", "_label", "_part"], "_text", kind).drop("_id").collect()
+    rows = sparse_rows(sample.withColumn("_part", F.abs(F.xxhash64(F.lit("part"), "_id")) % 5), ["_id", "_label", "_part"], "_text", kind).drop("_id").toArrow()
     size = kind.size
-    data = [(np.asarray(r["buckets"], np.int64), np.asarray(r["shares"])) for r in rows]
-    y, part = np.array([r["_label"] for r in rows], dtype=float), np.array([r["_part"] for r in rows], dtype=int)
+    data = [(b.values.to_numpy(), s.values.to_numpy()) for b, s in zip(rows["buckets"], rows["shares"], strict=True)]
+    y, part = rows["_label"].to_numpy().astype(float), rows["_part"].to_numpy()
     fit, rest = np.flatnonzero(part != 0), np.flatnonzero(part == 0)
     model = fit_logistic([data[k] for k in fit], y[fit], size, steps)
     score = np.array([(model.weights[data[k][0]] * data[k][1]).sum() for k in rest])

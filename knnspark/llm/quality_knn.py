@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import flat, slices
 from .features import NGrams, features, labelled_sample, sparse_rows
 
-KIND = NGrams(words=(1,), chars=(2, 3), buckets=1 << 12, repeats=True)
+KIND = NGrams(words=(1,), chars=(2, 3), buckets=1 << 11, repeats=True)
 #: The last family has few buckets, so its shares are large beside the others'.
 REPEATS_WEIGHT = 0.3
 
@@ -37,21 +37,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, dims: int = 64, k: int = 15, id_column: str = "doc_id", text: str = "text", label: str = "quality") -> Neighbours:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000, dims: int = 64, k: int = 15, id_column: str = "doc_id", text: str = "text", label: str = "quality") -> Neighbours:
     """labels: the rows that may be learnt from; no other label is looked at."""
     sample = labelled_sample(docs, labels, id_column, text, label, sample_rows)
-    rows = sparse_rows(sample, ["_label"], "_text", KIND).collect()
+    rows = sparse_rows(sample, ["_label"], "_text", KIND).toArrow().combine_chunks()
     size = KIND.size
-    y = np.array([r["_label"] for r in rows], dtype=np.float32)
-    x = np.zeros((len(rows), size), dtype=np.float32)
-    for n, r in enumerate(rows):
-        x[n, r["buckets"]] = r["shares"]
-    del rows
+    y = rows["_label"].to_numpy().astype(np.float32)
     if not len(y):
         return Neighbours(np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5, k)
-    idf = (np.log((1 + len(y)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+    x, at = np.zeros((len(y), size), dtype=np.float32), 0
+    for buckets, shares in zip(rows["buckets"], rows["shares"], strict=True):
+        x[at, buckets.values.to_numpy()] = shares.values.to_numpy()
+        at += 1
+    del rows
+    idf = (np.log((1 + len(y)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
     idf[-KIND.buckets :] *= REPEATS_WEIGHT
-    x = _unit(x * idf)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng, wide = np.random.default_rng(7), min(dims + 16, len(y))
     q = rng.standard_normal((size, wide)).astype(np.float32)
     for _ in range(3):

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, ngram_join, piece_codec, quality_knn, quality_rules, url_filter
+from . import fingerprints, line_dedup, mixing, ngram_join, piece_codec, quality_knn, quality_rules, suffix_dedup, url_filter
 from .common import table
 
 
@@ -85,6 +85,10 @@ FROM shaped
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_codec.read_model(piece_model_path())
     coded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
@@ -126,6 +130,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_piece_codec": op7_piece_codec,
     "op8_line_dedup": op8_line_dedup,
     "op9_fingerprints": op9_fingerprints,
