@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, ngram_join, piece_codec, quality_knn, quality_rules, suffix_dedup, url_filter
+from . import fingerprints, license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_knn, quality_rules, suffix_dedup, url_filter
 from .common import table
 
 
@@ -34,6 +34,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License families per document; licenses is a comma-joined list, '' for none."""
+    docs = table(spark, sf_dir, "documents")
+    found = license_scan.scan(docs.select("doc_id", "text"), license_scan.train(docs)).drop("text")
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 ALLOW = [("org", "/"), ("com", "/fr/")]
 BLOCK = [("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/de/")]
 
@@ -128,6 +135,7 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
