@@ -56,14 +56,15 @@ def _inverse(share: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - start) / slope)
 
 
-def mix(docs: DataFrame, share: float = 1.5, repeats: float = 2.0, weights: tuple[float, ...] = WEIGHTS, schedules: tuple = SCHEDULES, id_column: str = "doc_id", source: str = "source", text: str = "text", bucket_rows: int = 1024, carry: list[str] | None = None, order_rows: bool = True) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, repeats: float = 2.0, weights: tuple[float, ...] = WEIGHTS, schedules: tuple = SCHEDULES, id_column: str = "doc_id", source: str = "source", text: str = "text", bucket_rows: int = 1024, carry: list[str] | None = None, per_take: bool = False) -> DataFrame:
     """Per document: id, carried columns, size, source_size, target, taken, position; range-sorted by position.
 
     Null texts have size 0 and are taken 0 times; they stand at their place in the order. A null
     source is a source of its own, last. The order inside a source is by md5 of the id, then by size, so reruns
     agree and equal rows are interchangeable. The last document of a pass may be taken in part, so each
     source's words sum to its target's whole part (for targets up to `repeats` passes of whole
-    documents). All sizes 0: targets and takes are 0.
+    documents). All sizes 0: targets and takes are 0. carry: further columns of docs to keep. per_take: a row for each take
+    instead, with `take` (0 for the first), its words as `taken` and its own position.
     """
     carry = [c for c in (carry or []) if c != id_column]
     base = docs.select(
@@ -88,14 +89,28 @@ def mix(docs: DataFrame, share: float = 1.5, repeats: float = 2.0, weights: tupl
     placed = dealt.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_none", "_src", "_cut"])
     start = F.col("_before") + F.col("_in")
     demand = F.floor("target").cast("long")
-    taken = F.aggregate(
-        F.sequence(F.lit(0), F.lit(ceil(repeats) - 1)), F.lit(0).cast("long"),
-        lambda total, k: total + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), demand - k * F.col("source_size") - F.col("_start"))),
-    )
-    middle = (2 * F.col("_start") + F.col("size")) / 2.0 / F.greatest(F.col("target"), F.lit(1.0))
+    words_of = lambda k: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), demand - k * F.col("source_size") - F.col("_start")))
+    placed = placed.withColumn("_start", start)
+    if per_take:
+        placed = placed.withColumn("take", F.explode(F.sequence(F.lit(0), F.lit(ceil(repeats) - 1)))).withColumn("taken", words_of(F.col("take"))).where("taken > 0")
+        middle = (2 * (F.col("_start") + F.col("take") * F.col("source_size")) + F.col("size")) / 2.0 / F.greatest(F.col("target"), F.lit(1.0))
+    else:
+        total = lambda sum_, k: sum_ + words_of(k)
+        placed = placed.withColumn("taken", F.aggregate(F.sequence(F.lit(0), F.lit(ceil(repeats) - 1)), F.lit(0).cast("long"), total))
+        middle = (2 * F.col("_start") + F.col("size")) / 2.0 / F.greatest(F.col("target"), F.lit(1.0))
     pick = lambda k: F.element_at(F.array(*[F.lit(float(s[k])) for s in schedules]), F.col("rank") % len(schedules) + 1)
-    out = placed.withColumn("_start", start).select(
-        F.col("_id").alias(id_column), *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)], "size", "source_size", "target", taken.alias("taken"),
+    out = placed.select(
+        F.col("_id").alias(id_column), *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)], "size", "source_size", "target", "taken", *(["take"] if per_take else []),
         _inverse(F.least(middle, F.lit(1.0)), pick(0), pick(1)).alias("position"),
     )
-    return out.orderBy("position", F.col(id_column).asc_nulls_last()) if order_rows else out
+    return out if per_take else out.orderBy("position", F.col(id_column).asc_nulls_last())
+
+
+def train_order(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of docs as the mix takes them: once per take of any words, range-sorted by position."""
+    keys = [F.when(F.col(id_column).isNull(), F.lit(1)).otherwise(F.xxhash64(F.lit(0), id_column)).alias("_r1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_r2")]
+    keyed = docs.select("*", *keys)
+    takes = mix(keyed, id_column=id_column, source=source, text=text, carry=["_r1", "_r2"], per_take=True, **options)
+    # Repeated rows have the same keys: each of them goes with one set of takes.
+    takes = takes.groupBy("_r1", "_r2", "take").agg(F.min("position").alias("_position"))
+    return keyed.join(takes, ["_r1", "_r2"]).orderBy("_position", F.col(id_column).asc_nulls_last(), "take").select(docs.columns)

@@ -230,12 +230,13 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text: str = "text", list_rows: int = 4096) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text: str = "text", list_rows: int = 4096, keys: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id (least id reachable by links, itself included).
 
     Two documents link when 100 * shared >= percent * union of their shingle sets. Null or empty texts,
     or texts without words, have no shingles and link with nothing. Rows with a null id link like others; their component_id is
-    the least id they reach, null if there is none. Repeated rows keep their own rows.
+    the least id they reach, null if there is none. Repeated rows keep their own rows. keys: also return
+    the row keys r1 and r2 (row_key).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), *row_key(id_column, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -272,4 +273,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "d
     least = of_node.groupBy("label").agg(F.min("own").alias("component_id"))
     named = of_node.join(least, "label").select("h1", "h2", "n", "component_id")
     joined = members.join(named, ["h1", "h2", "n"], "left")
-    return joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "r1", "r2")
+    return out if keys else out.drop("r1", "r2")
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is their component's least; all rows of a component without ids stay."""
+    found = join(docs, id_column=id_column, text=text, keys=True, **options)
+    kept = found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select("r1", "r2").distinct()
+    keyed = docs.select("*", *(k.alias(f"_{n}") for k, n in zip(row_key(id_column, text), ("r1", "r2"), strict=True)))
+    return keyed.join(kept.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")), ["_r1", "_r2"], "left_semi").select(docs.columns)

@@ -96,13 +96,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = piece_codec.read_model(piece_model_path())
-    coded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
+def coded_rows(docs: DataFrame, model: piece_codec.PieceModel) -> DataFrame:
+    """Encodes and decodes every text; the rows of the op7 contract."""
+    coded = piece_codec.decode(piece_codec.encode(docs.select("doc_id", "text"), model).drop("text"), model)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(joined).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_rows(table(spark, sf_dir, "documents"), piece_codec.read_model(piece_model_path()))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.apply(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", digest(F.col("text")).alias("kept_sha256"))
