@@ -47,7 +47,7 @@ def l2(a: Column, b: Column, dims: int | None = None) -> Column:
 def cosine(a: Column, b: Column, dims: int | None = None, a_norm2: Column | None = None, b_norm2: Column | None = None) -> Column:
     """abs(1 - cosine); 1 where a norm is 0. Squared norms can be given."""
     norms = (norm2(a, dims) if a_norm2 is None else a_norm2) * (norm2(b, dims) if b_norm2 is None else b_norm2)
-    return F.when(norms > 0, F.abs(1 - dot(a, b, dims) / F.sqrt(norms))).otherwise(1.0)
+    return F.when(norms > 0, F.abs(1 - dot(a, b, dims) / F.sqrt(norms))).when(norms.isNotNull(), 1.0)
 
 
 def distance(a: Column, b: Column, measure: Measure | str = Measure.EUCLIDEAN, dims: int | None = None) -> Column:
@@ -73,7 +73,7 @@ def register_functions(spark: SparkSession) -> None:
     for name, arguments, kind, body in (
         ("vec_l2", pair, "DOUBLE", fold.format(a="a", b="b", f="(x - y) * (x - y)")),
         ("vec_norm2", "a ARRAY<DOUBLE>", "DOUBLE", product("a", "a")),
-        ("vec_cosine", pair, "DOUBLE", f"CASE WHEN {product('a', 'a')} * {product('b', 'b')} > 0 THEN abs(1 - {product('a', 'b')} / sqrt({product('a', 'a')} * {product('b', 'b')})) ELSE 1D END"),
+        ("vec_cosine", pair, "DOUBLE", f"CASE WHEN {product('a', 'a')} * {product('b', 'b')} > 0 THEN abs(1 - {product('a', 'b')} / sqrt({product('a', 'a')} * {product('b', 'b')})) WHEN {product('a', 'a')} * {product('b', 'b')} <= 0 THEN 1D END"),
         ("vec_half", pair, "ARRAY<DOUBLE>", f"zip_with(a, b, (x, y) -> x + {HALF}D * (y - x))"),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

@@ -63,7 +63,7 @@ def nearest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, meas
     if measure is Measure.EUCLIDEAN:
         qq, bb = (queries * queries).sum(1), (base * base).sum(1)
         rough = qq[:, None] + bb[None, :] - 2 * (queries @ base.T)
-        room = 1e-10 * (qq[:, None] + bb.max(initial=0)) + 1e-300
+        room = 1e-10 * (np.nan_to_num(qq)[:, None] + np.nan_to_num(bb, nan=0.0, posinf=0.0).max(initial=0)) + 1e-300
     else:
         qn, bn = np.sqrt((queries * queries).sum(1)), np.sqrt((base * base).sum(1))
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -88,6 +88,8 @@ def _arrow_block(base: DataFrame, q_ids: np.ndarray, queries: np.ndarray, k: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, queries = shared.value
+        if not len(q_ids):
+            return
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         step = max(1, rows // max(1, len(queries)))
         for batch in batches:
