@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,11 +63,22 @@ def _clean() -> None:
             return
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
-    path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts the lineage: writes df to the shared folder and reads it back.
+
+    The write's shuffle files go with it: what is written needs them no more.
+    """
+    spark, path = df.sparkSession, new_table_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -83,7 +95,7 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each piece holds at most `most` bytes of `column` (one row at least)."""
     col = batch.column(batch.schema.get_field_index(column))
     sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
@@ -95,6 +107,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         at = end
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker no longer needs back: idle workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column (null: empty) and the n + 1 offsets of its rows."""
     col = pc.fill_null(col.cast(pa.large_binary()), b"")

@@ -35,24 +35,24 @@ class NGrams:
         return self.families * self.buckets
 
 
-def features(buf: np.ndarray, offsets: np.ndarray, kind: NGrams) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each family of n-grams: the row and the bucket of every occurrence."""
-    mask, out = np.uint64(kind.buckets - 1), []
+def features(buf: np.ndarray, offsets: np.ndarray, kind: NGrams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each family of n-grams in turn: the row and the bucket of every occurrence."""
+    mask = np.uint64(kind.buckets - 1)
     starts, ends, rows = word_spans(buf, offsets)
     hashes = span_hashes(buf, starts, ends)
     for n in kind.words:
         if len(hashes) < n:
-            out.append((rows[:0], np.zeros(0, np.int64)))
+            yield rows[:0], np.zeros(0, np.int64)
             continue
         h, last = hashes[: len(hashes) - n + 1], len(hashes) - n + 1
         for k in range(1, n):
             h = mix64(h * np.uint64(3) + hashes[k : last + k])
         inside = rows[:last] == rows[n - 1 :]
-        out.append((rows[:last][inside], (mix64(h + np.uint64(n)) & mask)[inside].astype(np.int64)))
+        yield rows[:last][inside], (mix64(h + np.uint64(n)) & mask)[inside].astype(np.int64)
     byte_rows = None
     for n in kind.chars:
         if len(buf) < n:
-            out.append((rows[:0], np.zeros(0, np.int64)))
+            yield rows[:0], np.zeros(0, np.int64)
             continue
         if byte_rows is None:
             byte_rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
@@ -61,15 +61,14 @@ def features(buf: np.ndarray, offsets: np.ndarray, kind: NGrams) -> list[tuple[n
         for k in range(1, n):
             h |= buf[k : last + k].astype(np.uint64) << np.uint64(8 * k)
         inside = byte_rows[:last] == byte_rows[n - 1 :]
-        out.append((byte_rows[:last][inside], (mix64(h + np.uint64(n << 60)) & mask)[inside].astype(np.int64)))
+        yield byte_rows[:last][inside], (mix64(h + np.uint64(n << 60)) & mask)[inside].astype(np.int64)
     if kind.repeats:
         _, which, count = np.unique(mix64(hashes + mix64(rows.astype(np.uint64))), return_inverse=True, return_counts=True)
         total = np.bincount(rows, minlength=len(offsets) - 1)
         share = np.clip(np.ceil(np.log2(np.maximum(total[rows], 1) / count[which])), 0, 5) * (total[rows] >= 20)
         same = np.zeros(len(rows), dtype=np.int64)
         same[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
-        out.append((rows, 2 * share.astype(np.int64) + same + 16 * (total[rows] < 20)))
-    return out
+        yield rows, 2 * share.astype(np.int64) + same + 16 * (total[rows] < 20)
 
 
 def mean_weights(buf: np.ndarray, offsets: np.ndarray, kind: NGrams, weights: np.ndarray) -> np.ndarray:

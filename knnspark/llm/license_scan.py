@@ -158,7 +158,8 @@ def scan(docs: DataFrame, model: LicenceModel, known_at: float = 0.5, template_a
     """All rows and columns of docs plus n_paragraphs (lines), n_notices, licenses (sorted distinct
     families, confirmed) and license_probability (of the likeliest notice; 0 without one).
 
-    Null and empty texts have one empty paragraph and no notice. Columns of docs with these names are replaced.
+    Null and empty texts have one empty paragraph and no notice; a newline at the end starts no further
+    paragraph. Columns of docs with these names are replaced.
     """
     names = ["n_paragraphs", "n_notices", "licenses", "license_probability"]
     rest = [c for c in docs.columns if c not in names]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import flat, slices
+from .common import flat, slices, tidy
 from .features import NGrams, features, labelled_sample, sparse_rows
 
 KIND = NGrams(words=(1,), chars=(2, 3), buckets=1 << 11, repeats=True)
@@ -107,5 +107,6 @@ def apply(docs: DataFrame, model: Neighbours, text: str = "text", block: int = 2
                     buf, offsets = flat(batch.column(batch.schema.get_field_index(text)))
                     score = vote(project(buf, offsets, model), model)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64))], names=[*batch.schema.names, "score"])
+        tidy()
 
     return docs.select(*rest).mapInArrow(run, StructType([*docs.select(*rest).schema, StructField("score", DoubleType())]))

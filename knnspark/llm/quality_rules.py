@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import _IS_SPACE, flat, slices, word_spans
+from .common import _IS_SPACE, flat, slices, tidy, word_spans
 from .features import Linear, NGrams, fit_text_model, labelled_sample, mean_weights
 
 KIND = NGrams(words=(1, 2), chars=(3,), buckets=1 << 15)
@@ -85,7 +85,7 @@ def apply(docs: DataFrame, model: Linear, threshold: float = 0.5, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, model = shared.value
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, 500_000):
                 col = batch.column(batch.schema.get_field_index(text))
                 buf, offsets = flat(col)
                 raw = buf.tobytes()
@@ -96,5 +96,6 @@ def apply(docs: DataFrame, model: Linear, threshold: float = 0.5, text: str = "t
                     [*batch.columns, *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))],
                     names=[*batch.schema.names, *(f.name for f in added)],
                 )
+        tidy()
 
     return docs.select(*rest).mapInArrow(run, StructType([*docs.select(*rest).schema, *added]))
