@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import slices
+from .common import flat, mix64, slices, span_hashes, tidy
 
 SPACE = "\u2581"
 _FAR = np.int64(1) << 60
@@ -54,6 +55,7 @@ class PieceModel:
     """The vocabulary of a BPE model file with byte fallback, as tables for the merge rounds."""
 
     def __init__(self, raw: bytes) -> None:
+        self.mark = sha256(raw).hexdigest()
         pieces, normal = [], {}
         trainer = {}
         for field, value in _fields(raw):
@@ -227,26 +229,113 @@ def read_model(path: str) -> PieceModel:
         return PieceModel(f.read())
 
 
-def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids", cache_words: int = 200_000) -> DataFrame:
+class WordCache:
+    """Ids of words met before, found by 128-bit hashes in sorted arrays; emptied beyond `most` words."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Slots, -1 for words that are not here."""
+        if not len(self.h1):
+            return np.full(len(h1), -1)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), at, -1)
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: list[np.ndarray]) -> None:
+        if len(self.h1) + len(h1) > self.most:
+            self.clear()
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, *ids]).astype(np.int32)
+        order = np.argsort(h1)
+        at = np.searchsorted(self.h1, h1[order])
+        for name, new in (("h1", h1), ("h2", h2), ("start", start), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
+
+
+#: Kept by a Python worker from task to task.
+_CACHES: dict[str, WordCache] = {}
+
+
+def _ids_of_words(model: PieceModel, cache: WordCache, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words (without their leading space) and the number of each."""
+    h1 = span_hashes(buf, starts, ends)
+    h2 = span_hashes(buf ^ np.uint8(0x55), starts, ends)
+    _, first, which = np.unique(h1 + mix64(h2), return_index=True, return_inverse=True)
+    slots = cache.find(h1[first], h2[first])
+    new = first[slots < 0]
+    if len(new):
+        raw = buf.tobytes()
+        ids = model.merge_words([SPACE + raw[a:b].decode() for a, b in zip(starts[new], ends[new], strict=True)])
+        before = len(cache.h1)
+        cache.add(h1[new], h2[new], ids)
+        if len(cache.h1) < before + len(new):  # it was emptied: all words anew
+            cache.clear()
+            cache.add(h1[first], h2[first], model.merge_words([SPACE + raw[a:b].decode() for a, b in zip(starts[first], ends[first], strict=True)]))
+        slots = cache.find(h1[first], h2[first])
+    slots = slots[which]
+    size, start = cache.size[slots], cache.start[slots]
+    ends_of = np.cumsum(size)
+    return cache.flat[np.repeat(start - (ends_of - size), size) + np.arange(int(ends_of[-1]) if len(ends_of) else 0)], size
+
+
+def encode_batch(model: PieceModel, cache: WordCache, col: pa.Array) -> pa.ListArray:
+    """Ids of each text. Texts with runs of spaces, spaces at an end or U+2581 go word by word."""
+    buf, offsets = flat(col)
+    n = len(col)
+    space = buf == 32
+    odd = np.zeros(n, dtype=bool)
+    inside = np.repeat(np.arange(n), np.diff(offsets))
+    if len(buf):
+        double = np.flatnonzero(space[:-1] & space[1:])
+        odd[inside[double]] = True
+        mark = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x96) & (buf[2:] == 0x81))
+        odd[inside[mark]] = True
+        full = np.flatnonzero(np.diff(offsets) > 0)
+        odd[full] |= space[offsets[full]] | space[offsets[full + 1] - 1]
+    odd |= not model.splits_at_space
+    # A word starts at a row's start or after a space, and ends at a space or the row's end.
+    plain = ~odd & (np.diff(offsets) > 0)
+    gaps = np.flatnonzero(space)
+    gaps = gaps[plain[inside[gaps]]] if len(gaps) else gaps
+    starts, ends = np.sort(np.concatenate([offsets[:-1][plain], gaps + 1])), np.sort(np.concatenate([offsets[1:][plain], gaps]))
+    flat_ids, size = _ids_of_words(model, cache, buf, starts, ends)
+    of = inside[starts] if len(starts) else starts
+    count = np.bincount(of, weights=size, minlength=n).astype(np.int64)
+    if odd.any():
+        parts, cut = [], np.cumsum(count) - count
+        for k in range(n):
+            if odd[k]:
+                words = model.words_of(buf[offsets[k] : offsets[k + 1]].tobytes().decode())
+                ids = np.concatenate([np.zeros(0, np.int64), *model.merge_words(words)])
+                parts.append(ids)
+            else:
+                parts.append(flat_ids[cut[k] : cut[k] + count[k]])
+        count = np.array([len(p) for p in parts])
+        flat_ids = np.concatenate(parts)
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), flat_ids.astype(np.int32))
+
+
+def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids", cache_words: int = 400_000) -> DataFrame:
     """All rows and columns of docs with the piece ids of each whole text (null or empty: none)."""
     rest = [c for c in docs.columns if c != ids]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        model = shared.value
+        cache = _CACHES.setdefault(model.mark, WordCache(cache_words))
         for whole in batches:
-            for batch in slices(whole, text, 1_000_000):
-                rows = [model.words_of(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                new = list({w for words in rows for w in words if w not in known})
-                if len(known) + len(new) > cache_words:
-                    known = {}
-                    new = list({w for words in rows for w in words})
-                known.update(zip(new, model.merge_words(new), strict=True))
-                parts = [known[w] for words in rows for w in words]
-                flat_ids = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
-                sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-                ends = sizes[np.concatenate([[0], np.cumsum([len(words) for words in rows])]).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends.astype(np.int32), flat_ids)], names=[*batch.schema.names, ids])
+            for batch in slices(whole, text):
+                coded = encode_batch(model, cache, batch.column(batch.schema.get_field_index(text)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, coded], names=[*batch.schema.names, ids])
+        tidy()
 
     return docs.select(*rest).mapInArrow(run, StructType([*docs.select(*rest).schema, StructField(ids, ArrayType(IntegerType()))]))
 
@@ -268,3 +357,22 @@ def decode(rows: DataFrame, model: PieceModel, ids: str = "ids", decoded: str =
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, decoded])
 
     return rows.select(*rest).mapInArrow(run, StructType([*rows.select(*rest).schema, StructField(decoded, StringType())]))
+
+
+def transcode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids", decoded: str = "decoded", cache_words: int = 400_000) -> DataFrame:
+    """encode() and decode() in one pass: all columns of docs but the text, its ids and their text."""
+    rest = [c for c in docs.columns if c not in (text, ids, decoded)]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        cache = _CACHES.setdefault(model.mark, WordCache(cache_words))
+        for whole in batches:
+            for batch in slices(whole, text):
+                coded = encode_batch(model, cache, batch.column(len(rest)))
+                texts = model.decode_flat(coded.values.to_numpy().astype(np.int64), coded.offsets.to_numpy().astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], coded, pa.array(texts, pa.string())], names=[*rest, ids, decoded])
+        tidy()
+
+    kept = docs.select(*rest, text)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())]))

@@ -98,7 +98,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coded_rows(docs: DataFrame, model: piece_codec.PieceModel) -> DataFrame:
     """Encodes and decodes every text; the rows of the op7 contract."""
-    coded = piece_codec.decode(piece_codec.encode(docs.select("doc_id", "text"), model).drop("text"), model)
+    coded = piece_codec.transcode(docs.select("doc_id", "text"), model)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(joined).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
