@@ -118,7 +118,10 @@ def with_next(docs: DataFrame, id_column: str, text: str, bucket_rows: int = 200
     # The range that reads a range's first rows is the next higher one; the lowest reads the highest's.
     links = tops.withColumn("_to", F.coalesce(F.lead("_range").over(order), F.first("_range").over(whole)))
     numbered = number(rows)
-    top_rows = numbered.join(links.select("_range", "_top", "_to"), ["_range"]).where("_id <=> _top").groupBy("_to").agg(F.min("_text").alias("_text"))
+    links = links.select("_range", "_top", "_to")
+    # A row per range: few enough to send along, or else joined like any table.
+    links = F.broadcast(links) if len(edges) * cuts <= 10_000 else links
+    top_rows = numbered.join(links, ["_range"]).where("_id <=> _top").groupBy("_to").agg(F.min("_text").alias("_text"))
     halo = top_rows.select(F.col("_to").alias("_range"), F.lit(None).cast("bigint").alias("_id"), "_text", F.lit(True).alias("_halo"))
     window = Window.partitionBy("_range").orderBy("_halo", F.col("_id").desc_nulls_last(), "_text")
     both = numbered.select("_range", "_id", "_text", F.lit(False).alias("_halo")).unionByName(halo)
