@@ -14,15 +14,14 @@ verified as well. No list is expanded into all its pairs.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, slices, span_hashes, word_spans, written
+from .common import flat, mix64, slices, span_hashes, tidy, word_spans, written
 from .components import components
 
 SKETCH, SLOT = 1 << 20, 1 << 12
@@ -167,6 +166,7 @@ def _prefixes(rows: DataFrame, sketch: np.ndarray, words: int, percent: int, lis
                     [batch.column(1), batch.column(2), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, h.view(np.int64)), pa.ListArray.from_arrays(ends, spread)],
                     names=["r1", "r2", "n", "prefix", "spread"],
                 )
+        tidy()
 
     return rows.mapInArrow(run, "r1 bigint, r2 bigint, n int, prefix array<bigint>, spread array<int>")
 
@@ -201,10 +201,8 @@ def _stars(rows: DataFrame, by: str, percent: int) -> tuple[DataFrame, DataFrame
     return with_pivot, pairs
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets overlap enough."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The whole shingle sets (node, set) of the wanted nodes; repeated rows give a node more than once."""
     chosen = nodes.select("node", "r1", "r2").join(wanted, "node")
     texts = rows.join(chosen, ["r1", "r2"]).select("node", "text")
 
@@ -215,21 +213,21 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, p
                 row, h = shingle_sets(buf, offsets, words)
                 ends = np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, h.view(np.int64))], names=["node", "set"])
+        tidy()
+
+    return written(texts.mapInArrow(run, "node bigint, set array<bigint>"), "sets")
+
 
-    # Repeated rows give a node more than once.
-    sets = written(texts.mapInArrow(run, "node bigint, set array<bigint>"), "sets").groupBy("node").agg(F.first("set").alias("set"))
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (x, y) whose whole sets overlap enough; only the pairs' own sets are made."""
+    pairs = written(pairs, "pairs")
+    sets = _sets(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct(), rows, nodes, words)
     left = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("a")), "x")
     both = left.join(sets.select(F.col("node").alias("y"), F.col("set").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
     return written(both.where((100 + percent) * shared >= percent * (F.size("a") + F.size("b"))).select("x", "y"), "verified")
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of plans that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text: str = "text", list_rows: int = 4096, keys: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id (least id reachable by links, itself included).
 
@@ -238,7 +236,6 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "d
     the least id they reach, null if there is none. Repeated rows keep their own rows. keys: also return
     the row keys r1 and r2 (row_key).
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), *row_key(id_column, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scanned = written(_scan(rows, words), "scan")
     members = scanned.where("kind = 0").select("id", "r1", "r2", "n", "h1", "h2")
@@ -251,7 +248,6 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "d
     prefixes = _prefixes(rows, sketch, words, percent, list_rows).join(nodes.select("node", "r1", "r2"), ["r1", "r2"]).select("node", "n", "prefix", "spread")
     starred, _ = _stars(_keys(prefixes, light, percent), "key", percent)
     lists = written(starred.where("members > 1 OR base IS NOT NULL"), "lists")
-    _release(spark)
     local_pairs = lists.select(F.col("pivot").alias("a"), F.struct("node", "n", "room").alias("b")).where("a.node <> b.node").where(_enough("a", "b", percent)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
     _, far_pairs = _stars(lists.where("base IS NOT NULL AND node = pivot.node").select("base", "node", "n", "room"), "base", percent)
     # A member's best pivot is the one it shares most lists with.
@@ -259,7 +255,6 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "d
     best = counted.groupBy("y").agg(F.max(F.struct("c", (-F.col("x")).alias("x"))).alias("b")).select((-F.col("b.x")).alias("x"), "y")
     links = _verified(best, rows, nodes, words, percent)
     labels = components(links)
-    _release(spark)
     # Lists whose members are not of one component yet.
     marked = lists.select(F.coalesce("base", "key").alias("list"), "node", "n", "room").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = written(marked, "marked")
