@@ -52,16 +52,24 @@ def subtract_sql(a: str, b: str) -> str:
 
 def peel_sql(cells_sql: str, cells: int) -> str:
     """SQL of the digests recovered from a difference: array of (k, n), n 1 or -1; null if cells remain."""
-    pure = "array_distinct(transform(filter(st.cells, c -> abs(c.n) = 1 AND c.c = xxhash64(c.k, 1)), c -> named_struct('k', c.k, 'n', c.n)))"
-    taken = (
-        f"zip_with(st.cells, {_places(cells)}, (c, t) -> aggregate(filter(p, y -> {_here('y.k', 't', cells)}), c, "
-        "(a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.k, 'c', a.c ^ xxhash64(y.k, 1))))"
+    # Keys of both signs apart: plain numbers make a fast distinct.
+    pure = {n: f"array_distinct(transform(filter(st.cells, c -> c.n = {n} AND c.c = xxhash64(c.k, 1)), c -> c.k))" for n in (1, -1)}
+
+    def without(cell: str, keys: str, n: int) -> str:
+        step = f"named_struct('n', a.n - ({n}), 'k', a.k ^ y, 'c', a.c ^ xxhash64(y, 1))"
+        return f"aggregate(filter({keys}, y -> {_here('y', 't', cells)}), {cell}, (a, y) -> {step})"
+
+    taken = f"zip_with(st.cells, {_places(cells)}, (c, t) -> {without(without('c', 'p.plus', 1), 'p.minus', -1)})"
+    state = "named_struct('cells', {}, 'plus', {}, 'minus', {}, 'more', {})"
+    step = (
+        f"element_at(transform(array(named_struct('plus', {pure[1]}, 'minus', {pure[-1]})), p -> IF(size(p.plus) + size(p.minus) = 0, "
+        f"{state.format('st.cells', 'st.plus', 'st.minus', 'false')}, {state.format(taken, 'concat(st.plus, p.plus)', 'concat(st.minus, p.minus)', 'true')})), 1)"
     )
-    step = f"element_at(transform(array({pure}), p -> IF(size(p) = 0, named_struct('cells', st.cells, 'found', st.found, 'more', false), named_struct('cells', {taken}, 'found', concat(st.found, p), 'more', true))), 1)"
-    start = f"named_struct('cells', {cells_sql}, 'found', CAST(array() AS array<struct<k: bigint, n: int>>), 'more', true)"
+    none = "CAST(array() AS array<bigint>)"
+    found = "concat(transform(st.plus, k -> named_struct('k', k, 'n', 1)), transform(st.minus, k -> named_struct('k', k, 'n', -1)))"
     return (
-        f"aggregate(sequence(1, {ROUNDS}), {start}, (st, r) -> IF(st.more, {step}, st), "
-        "st -> IF(forall(st.cells, c -> c.n = 0 AND c.k = 0L AND c.c = 0L), st.found, NULL))"
+        f"aggregate(sequence(1, {ROUNDS}), {state.format(cells_sql, none, none, 'true')}, (st, r) -> IF(st.more, {step}, st), "
+        f"st -> IF(forall(st.cells, c -> c.n = 0 AND c.k = 0L AND c.c = 0L), {found}, NULL))"
     )
 
 
