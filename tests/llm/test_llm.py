@@ -348,6 +348,26 @@ def test_licenses(spark, docs):
     assert all(not v for k, v in got.items() if k is None or k < 1000 or k > 1003)
 
 
+def test_licenses_in_wrapped_and_dual_notices(spark, docs):
+    gnu = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU {}General Public License as published by\n the Free Software Foundation, either version {} of the License, or\n (at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one."
+    cases = [
+        (mit, ["MIT"]), (bsd, ["BSD-3-Clause"]), (isc, ["ISC"]), (mpl, ["MPL-2.0"]), (gnu.format("", 3), ["GPL-3.0"]), (gnu.format("", 2), ["GPL-2.0"]),
+        (gnu.format("Lesser ", 3), ["LGPL-3.0"]), (gnu.format("Affero ", 3), ["AGPL-3.0"]), ("/*\n * " + mit.replace("\n", "\r\n * ") + "\n */", ["MIT"]), ("// " + gnu.format("", 3).replace("\n", "\n//"), ["GPL-3.0"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]), ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("Licensed under the MIT License and the\nGNU General Public License, version 2.", ["GPL-2.0", "MIT"]), (" ".join(make_texts()[k] or "" for k in range(9)).replace("\n", " ") + " " + mit.replace("\n", " ") + " " + (make_texts()[1] or ""), ["MIT"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]), ("Released\n\nunder the MIT\n\nLicense", []), ("a MIT student and an Apache pilot met under the bridge", []),
+    ]
+    df = table(spark, [t for t, _ in cases], 1000).unionByName(docs)
+    got = {r["doc_id"]: r for r in license_scan.scan(df, license_scan.train(df)).collect()}
+    assert [got[1000 + k]["licenses"] for k in range(len(cases))] == [f for _, f in cases]
+    assert [got[1000 + k]["n_paragraphs"] for k in (0, 8, len(cases) - 2)] == [1, 1, 3] and got[1008]["n_notices"] == 1 and got[1010]["n_notices"] == 2
+    assert all(not r["licenses"] for k, r in got.items() if k is None or k < 1000)
+
+
 def test_empty_tables(spark, docs, labels):
     none = docs.where("false")
     rules = quality_rules.train(none, labels)
