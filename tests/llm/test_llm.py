@@ -245,6 +245,28 @@ def test_suffix_dedup(spark, docs):
         suffix_dedup.dedup(docs, length=20)
 
 
+@pytest.mark.parametrize("length", [270, 271, 700])
+def test_suffix_dedup_of_long_strings(spark, length):
+    rng = random.Random(length)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(6000)
+    texts = [word(50) + passage + word(50), word(80) + passage[300:4300] + word(900) + passage[100 : 100 + length], word(3000), passage[5000 : 4999 + length]]
+    df = table(spark, texts)
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if first.setdefault(t[k : k + length], i) < i:
+                gone[k : k + length] = b"\1" * length
+        want[i] = (sum(gone), "".join(c for c, g in zip(t, gone, strict=True) if not g))
+    assert want[1][0] >= 4000 + length and not want[3][0]
+    for frequent in (2000, 2):
+        got = suffix_dedup.dedup(df, length=length, frequent=frequent).collect()
+        assert {r["doc_id"]: (r["n_removed"], bytes(r["kept"]).decode()) for r in got} == want
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup(df, length=suffix_dedup.LONGEST + 1)
+
+
 def test_window_buckets():
     rng = np.random.default_rng(1)
     buf = rng.integers(0, 2, 3000).astype(np.uint8)
