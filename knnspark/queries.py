@@ -232,7 +232,7 @@ def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str, measure: str, shard: int = ANN_SHARD, k_build: int = K_BUILD) -> tuple[VectorIndex, DataFrame]:
     b = base(spark, sf_dir)
-    return VectorIndex(spark, EngineConfig(shard_size=shard)).set_base(b).build(k_build, 0.5, 0, measure), asked(b)
+    return VectorIndex(spark, EngineConfig(shard_size=shard)).set_base(b).build(k_build, 0.5, measure=measure), asked(b)
 
 
 def ann_query_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
