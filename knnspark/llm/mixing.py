@@ -6,6 +6,8 @@ Targets share the total demand by weight, stopped at `repeats` times a source's
 source's documents, in a hashed order repeated pass by pass, meet its demand; the cumulative words at
 the middle of a document's first take, put through the inverse of the integrated schedule,
 are its training position, and documents are range-sorted by position.
+
+Windows over all sources and over one source's cuts run in one task each: a row per source, and one per bucket_rows documents.
 """
 
 from __future__ import annotations
@@ -107,10 +109,20 @@ def mix(docs: DataFrame, share: float = 1.5, repeats: float = 2.0, weights: tupl
 
 
 def train_order(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The rows of docs as the mix takes them: once per take of any words, range-sorted by position."""
-    keys = [F.when(F.col(id_column).isNull(), F.lit(1)).otherwise(F.xxhash64(F.lit(0), id_column)).alias("_r1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_r2")]
-    keyed = docs.select("*", *keys)
-    takes = mix(keyed, id_column=id_column, source=source, text=text, carry=["_r1", "_r2"], per_take=True, **options)
-    # Repeated rows have the same keys: each of them goes with one set of takes.
-    takes = takes.groupBy("_r1", "_r2", "take").agg(F.min("position").alias("_position"))
-    return keyed.join(takes, ["_r1", "_r2"]).orderBy("_position", F.col(id_column).asc_nulls_last(), "take").select(docs.columns)
+    """The rows of docs as the mix takes them: once per take of any words, range-sorted by position.
+
+    Rows that agree in id, source and text are numbered, and each goes with the takes of its own number.
+    """
+    hashed = lambda c: F.when(F.col(c).isNull(), F.lit(1)).otherwise(F.xxhash64(F.lit(0), c))
+    names = ["_r1", "_r2", "_r3"]
+    keyed = docs.select("*", hashed(id_column).alias("_r1"), hashed(text).alias("_r2"), hashed(source).alias("_r3"))
+    takes = mix(keyed, id_column=id_column, source=source, text=text, carry=names, per_take=True, **options)
+    same = Window.partitionBy(*names, "take").orderBy("position")
+    takes = written(takes.select(*names, F.col("take").alias("_take"), F.col("position").alias("_position"), F.row_number().over(same).alias("_n")), "takes")
+    repeated = written(keyed.groupBy(*names).agg(F.count("*").alias("_copies")).where("_copies > 1").select(*names), "repeated")
+    if repeated.isEmpty():
+        chosen = keyed.join(takes.drop("_n"), names)
+    else:
+        numbered = keyed.join(repeated, names, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(F.col(id_column))))
+        chosen = keyed.join(repeated, names, "left_anti").join(takes.drop("_n"), names).unionByName(numbered.join(takes, [*names, "_n"]).drop("_n"))
+    return chosen.orderBy("_position", F.col(id_column).asc_nulls_last(), "_take").select(docs.columns)
