@@ -15,7 +15,7 @@ from .common import flat, mix64, slices, span_hashes, word_spans
 
 @dataclass(frozen=True)
 class NGrams:
-    """words: sizes of word n-grams; chars: sizes of byte n-grams (up to 7); buckets: a power of two.
+    """words: sizes of word n-grams; chars: sizes of character n-grams (up to 3); buckets: a power of two.
 
     repeats adds a family in which a word stands for how often its text has it and whether it
     equals the word before.
@@ -35,6 +35,23 @@ class NGrams:
         return self.families * self.buckets
 
 
+def code_points(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes and the rows' offsets among them."""
+    lead = (buf & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    points = buf[at].astype(np.uint64)
+    wide = np.flatnonzero(points >= 0x80)
+    if len(wide):
+        head, follow = points[wide], np.append(buf, np.zeros(3, np.uint8)).astype(np.uint64) & np.uint64(0x3F)
+        one, two, three = (follow[at[wide] + k] for k in (1, 2, 3))
+        six, twelve, eighteen = np.uint64(6), np.uint64(12), np.uint64(18)
+        points[wide] = np.where(
+            head < 0xE0, (head & np.uint64(0x1F)) << six | one,
+            np.where(head < 0xF0, (head & np.uint64(0x0F)) << twelve | one << six | two, (head & np.uint64(0x07)) << eighteen | one << twelve | two << six | three),
+        )
+    return points, np.concatenate([[0], np.cumsum(lead)])[offsets]
+
+
 def features(buf: np.ndarray, offsets: np.ndarray, kind: NGrams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each family of n-grams in turn: the row and the bucket of every occurrence."""
     mask = np.uint64(kind.buckets - 1)
@@ -49,19 +66,18 @@ def features(buf: np.ndarray, offsets: np.ndarray, kind: NGrams) -> Iterator[tup
             h = mix64(h * np.uint64(3) + hashes[k : last + k])
         inside = rows[:last] == rows[n - 1 :]
         yield rows[:last][inside], (mix64(h + np.uint64(n)) & mask)[inside].astype(np.int64)
-    byte_rows = None
+    points, ends = code_points(buf, offsets) if kind.chars else (buf[:0], 0 * offsets)
+    char_rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(ends))
     for n in kind.chars:
-        if len(buf) < n:
+        if len(points) < n:
             yield rows[:0], np.zeros(0, np.int64)
             continue
-        if byte_rows is None:
-            byte_rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-        last = len(buf) - n + 1
-        h = buf[:last].astype(np.uint64)
+        last = len(points) - n + 1
+        h = points[:last].copy()
         for k in range(1, n):
-            h |= buf[k : last + k].astype(np.uint64) << np.uint64(8 * k)
-        inside = byte_rows[:last] == byte_rows[n - 1 :]
-        yield byte_rows[:last][inside], (mix64(h + np.uint64(n << 60)) & mask)[inside].astype(np.int64)
+            h |= points[k : last + k] << np.uint64(21 * k)
+        inside = char_rows[:last] == char_rows[n - 1 :]
+        yield char_rows[:last][inside], (mix64(h + np.uint64(n << 60)) & mask)[inside].astype(np.int64)
     if kind.repeats:
         _, which, count = np.unique(mix64(hashes + mix64(rows.astype(np.uint64))), return_inverse=True, return_counts=True)
         total = np.bincount(rows, minlength=len(offsets) - 1)
@@ -175,7 +191,7 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size:
 
 
 def calibrate(model: Linear, score: np.ndarray, y: np.ndarray) -> Linear:
-    """Platt scaling on rows that the fit has not seen; too few of a class leave the model as it is."""
+    """Platt scaling on rows that the fit has not seen; fewer than 5 rows of a class among them leave the model as it is."""
     y = np.asarray(y, dtype=np.float64)
     pos, neg = y.sum(), len(y) - y.sum()
     if min(pos, neg) < 5:

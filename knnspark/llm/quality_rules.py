@@ -1,8 +1,8 @@
 """Quality rules: counted rules plus a trained text model, scored in Arrow batches.
 
-The verdict is a logistic regression over hashed word and byte n-grams, fitted on a bounded
-sample of labelled rows (`sample_rows`), Platt-calibrated on a fold of its own, and compared
-with fixed thresholds.
+The verdict is a logistic regression over hashed word and character n-grams, fitted on a bounded
+sample of labelled rows (`sample_rows`), Platt-calibrated on a fold of its own (if that has 5 rows of
+each class; else it stays uncalibrated), and compared with fixed thresholds.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ def apply(docs: DataFrame, model: Linear, threshold: float = 0.5, text: str = "t
     """All rows and columns of docs, with the counts, base_failed, probability and kept.
 
     Columns of docs that clash with these names are replaced. A null text counts as empty: no
-    words, base_failed, probability of the bias alone. Ties with the threshold keep the row.
+    words, base_failed, probability of the bias alone. Ties with the threshold keep the row. Equal rows get equal results;
+    texts of any length are read whole.
     """
     added = StructType([StructField(c, LongType()) for c in COUNTS] + [StructField("base_failed", BooleanType()), StructField("probability", DoubleType()), StructField("kept", BooleanType())])
     taken = {f.name for f in added}
