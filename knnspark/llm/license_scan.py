@@ -4,13 +4,15 @@ A paragraph is a run of lines up to a blank one (comment marks count as blank).
 windows of WIDTHS words go through a sparse model over hashed word n-grams (1 to 3): a logistic
 regression, Platt-calibrated on rows it has not seen, tells licence notices from anything else (the
 unknown class). What it lets through names every family of which a template is found: enough of
-the template's word pairs, close together, and all of those that tell it from another family's. A list
-of licence names joined by "or" or "and" names all of them. The model is trained on the templates
-below with seeded edits, and on spans of a bounded sample of documents as unknown.
+the template's word pairs, close together, among them those with its names and version numbers and all of those that
+tell it from another family's, and no negation right before. A list of licence names joined by "or" or "and" names all of them.
+The model is trained on the templates below with seeded edits; unknown are spans of a bounded sample of documents,
+and the templates with other versions or a negation.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,7 @@ KIND = NGrams(words=(1, 2, 3), chars=(), buckets=1 << 13)
 _GNU = "under the terms of the GNU {} License as published by the Free Software Foundation either version {}"
 TEMPLATES = {
     "AGPL-3.0": ("licensed under the GNU Affero General Public License version 3", "released under the AGPL-3.0", _GNU.format("Affero General Public", 3)),
-    "Apache-2.0": ("licensed under the Apache License Version 2.0",),
+    "Apache-2.0": ("licensed under the Apache License Version 2.0", "licensed under the Apache License 2.0", "licensed under the Apache 2.0 License"),
     "BSD-2-Clause": ("released under the BSD 2-Clause License",),
     "BSD-3-Clause": ("released under the BSD 3-Clause License", "redistribution and use in source and binary forms with or without modification are permitted"),
     "CC-BY-4.0": ("licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License", "licensed under the Creative Commons Attribution 4.0 International License"),
@@ -42,6 +44,8 @@ TEMPLATES = {
     "MIT": ("released under the MIT License", "licensed under the MIT License", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     "MPL-2.0": ("subject to the terms of the Mozilla Public License version 2.0", "subject to the terms of the Mozilla Public License v 2.0", "licensed under the Mozilla Public License 2.0"),
 }
+_SHORT = {"AGPL-3.0": "AGPLv3", "GPL-2.0": "GPLv2", "GPL-3.0": "GPLv3", "LGPL-3.0": "LGPLv3"}
+TEMPLATES |= {f: (*TEMPLATES[f], f"licensed under the {s}", f"released under the {s}", f"distributed under the {s}", f"License {s}") for f, s in _SHORT.items()}
 TEMPLATES = {f: (*ts, *(f"SPDX-License-Identifier {f}{end}" for end in (("", "-only", "-or-later") if "GPL" in f else ("",)))) for f, ts in TEMPLATES.items()}
 #: Names in lists such as "under either the MIT License or the Apache License, Version 2.0".
 NAMES = {
@@ -60,6 +64,11 @@ NAMES = {
     "MIT": ("MIT License", "MIT"),
     "MPL-2.0": ("Mozilla Public License version 2.0", "Mozilla Public License 2.0", "MPL-2.0"),
 }
+NAMES |= {f: (*NAMES[f], s, s.replace("v", " v")) for f, s in _SHORT.items()}
+#: Versions that no family here has.
+OTHER_VERSIONS = ("1", "1.0", "1.1", "1.2", "2.1", "2.5", "5", "9.0")
+#: Words that turn a notice round, up to three words before it.
+NEGATIONS = {"not", "never", "no", "nor", "neither", "isn't", "cannot", "without", "unlike"}
 LISTED = {"licensed", "dual-licensed", "released", "distributed", "available", "license", "terms", "spdx-license-identifier"}
 JOINED = {"or", "and", "and/or"}
 #: Words of the windows, half overlapping: a template of up to half a window and one word is whole in one of them.
@@ -157,6 +166,23 @@ _NAMED = {tuple(_words(n)): f for f, ns in NAMES.items() for n in ns}
 _NAME_SIZES = sorted({len(n) for n in _NAMED}, reverse=True)
 
 
+def _special(word: str) -> bool:
+    """Whether a word has a figure or belongs to a licence's name."""
+    return any(c.isdigit() for c in word) or word in _NAME_WORDS
+
+
+_NAME_WORDS = {w for n in _NAMED for w in n} - {"license", "public", "general", "version", "v"}
+#: Per template: groups of pairs of which one must be there, for each word of _special(); a figure's own is that with the word before it.
+_MUST = []
+for _, _want in _PAIRS:
+    _w = [_want[0][0], *(b for _, b in _want)]
+    _MUST.append([{j - 1} if j and any(c.isdigit() for c in _w[j]) else {j - 1, j} & set(range(len(_want))) for j in range(len(_w)) if _special(_w[j])])
+
+
+def _denied(words: list[str], at: int) -> bool:
+    return bool(NEGATIONS & set(words[max(0, at - 3) : max(0, at)]))
+
+
 def _listed(words: list[str]) -> set[str]:
     """Families of names that stand in a list after a word of LISTED."""
     found, k = [], 0
@@ -170,7 +196,7 @@ def _listed(words: list[str]) -> set[str]:
     for name in [*found, None]:
         gap = words[chain[-1][1] : name[0]] if chain and name else []
         if chain and (name is None or len(gap) > 6 or "not" in gap or not JOINED & set(gap)):
-            if len({f for _, _, f in chain}) > 1 and LISTED & set(words[max(0, chain[0][0] - 6) : chain[0][0]]):
+            if len({f for _, _, f in chain}) > 1 and LISTED & set(before := words[max(0, chain[0][0] - 6) : chain[0][0]]) and not NEGATIONS & set(before):
                 out |= {f for _, _, f in chain}
             chain = []
         if name:
@@ -192,7 +218,7 @@ def confirmed(words: list[str], template_at: float) -> set[str]:
         drift = max(3, len(want) // 5)
         for low in {d for d, _ in at}:
             have = {j for d, j in at if low <= d <= low + drift}
-            if len(have) >= template_at * len(want) and _OWN[t] <= have:
+            if len(have) >= template_at * len(want) and _OWN[t] <= have and all(have & one for one in _MUST[t]) and not _denied(words, low):
                 out.add(family)
                 break
     return out
@@ -220,8 +246,12 @@ def _rows(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 def train(docs: DataFrame, sample_docs: int = 300, sample_lines: int = 3000, copies: int = 24, id_column: str = "doc_id", text: str = "text") -> LicenceModel:
     """Unknown spans come from at most sample_docs documents: sample_lines of their lines and as many of their windows."""
     rng = np.random.default_rng(11)
-    few = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).orderBy(F.xxhash64(id_column), F.xxhash64(text)).limit(sample_docs)
-    buf, offsets = _joined([r["t"] for r in few.collect()])
+    # Numbers alone are sorted; of the texts only the chosen ones travel.
+    names = [F.xxhash64(id_column).alias("_a"), F.xxhash64(text).alias("_b")]
+    few = docs.where(F.col(text).isNotNull()).select(*names).orderBy("_a", "_b").limit(sample_docs).distinct()
+    found = docs.where(F.col(text).isNotNull()).select(*names, F.col(text).alias("t")).join(F.broadcast(few), ["_a", "_b"])
+    # Repeated rows count once.
+    buf, offsets = _joined([r["t"] for r in found.groupBy("_a", "_b").agg(F.first("t").alias("t")).orderBy("_a", "_b").collect()])
     lines, words = ["no licence here"], ["word"]
     if len(buf):
         word, starts, ends, _, _, first, end = _cut(buf, offsets)
@@ -233,6 +263,15 @@ def train(docs: DataFrame, sample_docs: int = 300, sample_lines: int = 3000, cop
     # A span with half a template is neither known nor unknown.
     unknown = [x for x in lines if not confirmed(x.split(), 0.5)]
     # Near misses are unknown too: parts of notices without a name.
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        own = t.split()
+        figures = [k for k, w in enumerate(own) if any(c.isdigit() for c in w) and "-Clause" not in w]
+        for other in OTHER_VERSIONS if figures else ():
+            missed = list(own)
+            missed[figures[-1]] = re.sub(r"\d+(\.\d+)?", other, own[figures[-1]], count=1)
+            if not confirmed(_words(" ".join(missed)), 0.8):
+                unknown.append(" ".join([*rng.choice(words, int(rng.integers(0, 6))), *missed, *rng.choice(words, int(rng.integers(0, 6)))]))
+        unknown.append(" ".join(["is not" if len(own) % 2 else "never", *own]))
     unknown += [" ".join(rng.choice(["licensed", "under", "the", "license", "version", "released", "public", "work", "is", "terms", "of"], 6)) for _ in range(200)] + ["the driver needs a license", "public domain"]
     texts = []
     for templates in TEMPLATES.values():
@@ -286,7 +325,8 @@ def scan(docs: DataFrame, model: LicenceModel, known_at: float = 0.5, template_a
     """All rows and columns of docs plus n_paragraphs, n_notices (families summed over the paragraphs), licenses
     (sorted distinct families, confirmed) and license_probability (of the likeliest notice; 0 without one).
 
-    Null, empty and blank texts have one paragraph and no notice. Columns of docs with these names are replaced.
+    Null, empty and blank texts have one paragraph and no notice. Repeated rows get equal results; texts of any length are read
+    whole. Columns of docs with these names are replaced.
     """
     names = ["n_paragraphs", "n_notices", "licenses", "license_probability"]
     rest = [c for c in docs.columns if c not in names]
