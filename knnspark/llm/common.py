@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,8 @@ def _clean() -> None:
     for spark, path in _SHARED:
         try:
             remove_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone by then
-            return
+        except Exception:  # noqa: BLE001  the session may be gone by then; other paths may belong to another one
+            continue
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -69,7 +71,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back.
 
-    The write's shuffle files go with it: what is written needs them no more.
+    The write's shuffle files go with it: what is written needs them no more. discard() removes the table itself.
     """
     spark, path = df.sparkSession, new_table_path(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, None)
@@ -78,7 +80,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    tidy_driver(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() whose readers have all been written themselves."""
+    for table_ in tables:
+        path = table_.written_to.rsplit("/", 1)[0]
+        remove_path(table_.sparkSession, path)
+        _SHARED[:] = [x for x in _SHARED if x[1] != path]
+
+
+def tidy_driver(spark: SparkSession) -> None:
+    """Gives native memory that the driver's Python and JVM no longer need back to the system.
+
+    Many small jobs leave the C library's arenas full of holes, which count as used. Java versions without that command stay as they are.
+    """
+    gc.collect()
+    tidy()
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    lang = jvm.java.lang
+    try:
+        kinds, given = new(lang.Class, 4), new(lang.Object, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = lang.Class.forName(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # The server's own class is not public, its interface is.
+        lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return
 
 
 def ascii_lower(c: Column) -> Column:
