@@ -113,13 +113,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
-listed AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*)::BIGINT AS n_lines, count(listed.k)::BIGINT AS n_dropped,
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (
+  SELECT r, doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM docs))),
+listed AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(listed.k)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE listed.k IS NULL), '')) AS kept_sha256
-FROM lines LEFT JOIN listed USING (k) GROUP BY doc_id
+FROM lines LEFT JOIN listed USING (k) GROUP BY r
 """
 
 
