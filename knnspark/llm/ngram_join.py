@@ -7,9 +7,11 @@ every pair of shingles of their prefix, and meet under a common pair; large (hea
 light ones near the boundary stand in the inverted lists of single shingles, which are scanned. The boundary is where the
 modelled cost of listing pairs and scanning lists is least.
 
-Links are needed up to connectivity, so a list is first joined to one member (its pivot), and
-after the verified links are contracted only pairs across components that pass the positional bound are
-verified as well. No list is expanded into all its pairs.
+Links are needed up to connectivity, so a list is first joined to one member (its pivot); lists that may be
+long are dealt over keys with a pivot each, and those pivots are joined to one of them. Each member is verified against the pivot it
+shares most lists with, which gives a forest, and its trees are contracted. After that only the lists that hold members of several
+trees are looked at again, and of those only pairs across trees that pass the positional bound are verified; that join has two plain sides,
+so adaptive execution can split long lists on both.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, slices, span_hashes, tidy, word_spans, written
-from .components import components
+from .common import discard, flat, mix64, slices, span_hashes, tidy, word_spans, written
+from .components import components, roots
 
 SKETCH, SLOT = 1 << 20, 1 << 12
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -183,22 +185,27 @@ def _keys(prefixes: DataFrame, light: int, percent: int) -> DataFrame:
         F.when(parts > 1, F.xxhash64(token, F.pmod(F.xxhash64("node"), parts))).otherwise(token).alias("key"), F.when(parts > 1, token).alias("base"),
         "node", "n", (F.col("n") - F.col("at")).alias("room"),
     )
-    pairs = "flatten(transform(sequence(1, size(prefix) - 1), j -> transform(sequence(0, j - 1), i -> named_struct('key', xxhash64(2, prefix[i], prefix[j]), 'room', n - j + 1))))"
+    dealt = "least(spread[i], spread[j])"
+    pair = f"named_struct('key', IF({dealt} > 1, xxhash64(2, prefix[i], prefix[j], pmod(xxhash64(node), {dealt})), xxhash64(2, prefix[i], prefix[j])), 'base', IF({dealt} > 1, xxhash64(2, prefix[i], prefix[j]), NULL), 'room', n - j + 1)"
+    pairs = f"flatten(transform(sequence(1, size(prefix) - 1), j -> transform(sequence(0, j - 1), i -> {pair})))"
     light_rows = prefixes.where(f"n > 1 AND n <= {light} AND size(prefix) > 1").select("node", "n", F.explode(F.expr(pairs)).alias("p"))
-    return single.unionByName(light_rows.select(F.col("p.key").alias("key"), F.lit(None).cast("bigint").alias("base"), "node", "n", F.col("p.room").alias("room")))
+    return single.unionByName(light_rows.select("p.key", "p.base", "node", "n", "p.room"))
 
 
 def _enough(a: str, b: str, percent: int) -> Column:
     return F.expr(f"{100 + percent} * least({a}.room, {b}.room) >= {percent} * ({a}.n + {b}.n)")
 
 
-def _stars(rows: DataFrame, by: str, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with their list's pivot and length, and the candidate pairs (x pivot, y member)."""
+def _starred(rows: DataFrame, by: str) -> DataFrame:
+    """The rows with their list's pivot, its member of least number, and the list's length."""
     over = Window.partitionBy(by)
-    me = F.struct("node", "n", "room")
-    with_pivot = rows.withColumn("pivot", F.min(me).over(over)).withColumn("members", F.count("*").over(over))
-    pairs = with_pivot.select(F.col("pivot").alias("a"), me.alias("b")).where("a.node <> b.node").where(_enough("a", "b", percent)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
-    return with_pivot, pairs
+    return rows.withColumn("pivot", F.min(F.struct("node", "n", "room")).over(over)).withColumn("members", F.count("*").over(over))
+
+
+def _to_pivots(starred: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (x pivot, y member); x < y."""
+    pairs = starred.select(F.col("pivot").alias("a"), F.struct("node", "n", "room").alias("b")).where("a.node <> b.node").where(_enough("a", "b", percent))
+    return pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
 
 
 def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -221,52 +228,59 @@ def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> D
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose whole sets overlap enough; only the pairs' own sets are made."""
     pairs = written(pairs, "pairs")
-    sets = _sets(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct(), rows, nodes, words)
+    sets = _sets(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), rows, nodes, words)
     left = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("a")), "x")
     both = left.join(sets.select(F.col("node").alias("y"), F.col("set").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
-    return written(both.where((100 + percent) * shared >= percent * (F.size("a") + F.size("b"))).select("x", "y"), "verified")
+    out = written(both.where((100 + percent) * shared >= percent * (F.size("a") + F.size("b"))).select("x", "y").distinct(), "verified")
+    discard(pairs, sets)
+    return out
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text: str = "text", list_rows: int = 4096, keys: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id (least id reachable by links, itself included).
 
     Two documents link when 100 * shared >= percent * union of their shingle sets. Null or empty texts,
-    or texts without words, have no shingles and link with nothing. Rows with a null id link like others; their component_id is
-    the least id they reach, null if there is none. Repeated rows keep their own rows. keys: also return
-    the row keys r1 and r2 (row_key).
+    or texts without words, have no shingles and link with nothing; texts may be of any length. Rows with a null id link like others;
+    their component_id is the least id they reach, null if there is none. Rows that share an id are told apart by their texts, each linking
+    by its own; repeated rows keep their own rows. keys: also return the row keys r1 and r2 (row_key).
     """
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), *row_key(id_column, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scanned = written(_scan(rows, words), "scan")
     members = scanned.where("kind = 0").select("id", "r1", "r2", "n", "h1", "h2")
     sketch = _sketch(scanned)
     classes = members.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")).alias("m"))
-    nodes = written(classes.select("h1", "h2", "n", F.coalesce("m.id", "h1").alias("node"), F.col("m.id").alias("own"), "m.r1", "m.r2"), "nodes")
+    # Classes are named by number; the written table is the only place that numbers them.
+    nodes = written(classes.select("h1", "h2", "n", F.monotonically_increasing_id().alias("node"), F.col("m.id").alias("own"), "m.r1", "m.r2"), "nodes")
     # One row per set size: as many as the longest text has words, at most.
     sizes = [(r["n"], r["count"]) for r in nodes.groupBy("n").count().collect()]
     light = boundary(sizes, sketch, percent)
     prefixes = _prefixes(rows, sketch, words, percent, list_rows).join(nodes.select("node", "r1", "r2"), ["r1", "r2"]).select("node", "n", "prefix", "spread")
-    starred, _ = _stars(_keys(prefixes, light, percent), "key", percent)
-    lists = written(starred.where("members > 1 OR base IS NOT NULL"), "lists")
-    local_pairs = lists.select(F.col("pivot").alias("a"), F.struct("node", "n", "room").alias("b")).where("a.node <> b.node").where(_enough("a", "b", percent)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
-    _, far_pairs = _stars(lists.where("base IS NOT NULL AND node = pivot.node").select("base", "node", "n", "room"), "base", percent)
-    # A member's best pivot is the one it shares most lists with.
-    counted = local_pairs.unionByName(far_pairs).groupBy("x", "y").agg(F.count("*").alias("c"))
+    lists = written(_starred(_keys(prefixes, light, percent), "key").where("members > 1 OR base IS NOT NULL"), "lists")
+    far = _starred(lists.where("base IS NOT NULL AND node = pivot.node").select("base", "node", "n", "room"), "base")
+    # A member's best pivot is the one it shares most lists with: one smaller node for each, so the links are a forest.
+    counted = _to_pivots(lists, percent).unionByName(_to_pivots(far, percent)).groupBy("x", "y").agg(F.count("*").alias("c"))
     best = counted.groupBy("y").agg(F.max(F.struct("c", (-F.col("x")).alias("x"))).alias("b")).select((-F.col("b.x")).alias("x"), "y")
     links = _verified(best, rows, nodes, words, percent)
-    labels = components(links)
-    # Lists whose members are not of one component yet.
-    marked = lists.select(F.coalesce("base", "key").alias("list"), "node", "n", "room").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    trees = roots(links.select(F.col("y").alias("node"), F.col("x").alias("label")))
+    # Lists whose members are not of one tree.
+    marked = lists.select(F.coalesce("base", "key").alias("list"), "node", "n", "room").join(trees, "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = written(marked, "marked")
     open_lists = marked.groupBy("list").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("list")
     open_rows = written(marked.join(open_lists, "list", "left_semi"), "open")
+    discard(lists, links, marked)
     across = open_rows.alias("a").join(open_rows.alias("b"), F.expr("a.list = b.list AND a.node < b.node AND a.label <> b.label") & _enough("a", "b", percent)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
     more = _verified(across, rows, nodes, words, percent)
-    labels = written(components(links.unionByName(more)), "labels")
+    label_of = trees.select(F.col("node").alias("tree_node"), "label")
+    ends = more.join(label_of, F.col("x") == F.col("tree_node"), "left").select(F.coalesce("label", "x").alias("x"), "y")
+    ends = ends.join(label_of, F.col("y") == F.col("tree_node"), "left").select("x", F.coalesce("label", "y").alias("y"))
+    merged = written(components(ends), "merged").select(F.col("node").alias("label"), F.col("label").alias("top"))
     # Labels back to ids: the least id of each component's documents.
-    of_node = nodes.join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("label"), "own")
-    least = of_node.groupBy("label").agg(F.min("own").alias("component_id"))
-    named = of_node.join(least, "label").select("h1", "h2", "n", "component_id")
+    of_node = nodes.join(trees, "node", "left").withColumn("label", F.coalesce("label", "node")).join(merged, "label", "left").select("h1", "h2", "n", F.coalesce("top", "label").alias("label"), "own")
+    of_node = written(of_node, "of_node")
+    least = written(of_node.groupBy("label").agg(F.min("own").alias("component_id")), "least")
+    named = written(of_node.join(least, "label").select("h1", "h2", "n", "component_id"), "named")
+    discard(open_rows, more, nodes, of_node, least)
     joined = members.join(named, ["h1", "h2", "n"], "left")
     out = joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "r1", "r2")
     return out if keys else out.drop("r1", "r2")
