@@ -1,4 +1,8 @@
-"""Exact k nearest neighbours: all queries against all rows, ordered by (dist, vec_id)."""
+"""Exact k nearest neighbours: all queries against all rows, ordered by (dist, vec_id).
+
+One block of queries goes to every base partition. More queries stay a table: packed into blocks of rows they meet the
+base's partitions pair by pair on the executors.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import distance
-from ..types import RESULT_SCHEMA, Measure, check_query, log
+from ..types import MAX_DIMS, RESULT_SCHEMA, Measure, check_query, log
 
 
 def top_k(pairs: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -30,6 +34,8 @@ def vectors_of(col: pa.Array, dims: int | None = None) -> np.ndarray:
     values = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if dims is None:
         dims = len(values) // len(col)
+    if dims > MAX_DIMS:
+        raise ValueError(f"{dims} dimensions are more than {MAX_DIMS}")
     if len(values) != len(col) * dims:
         raise ValueError("vectors differ in length")
     return values.reshape(len(col), dims)
@@ -83,65 +89,154 @@ def nearest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, meas
     return row[keep], ids[at[keep]], dist[keep]
 
 
-def _arrow_block(base: DataFrame, q_ids: np.ndarray, queries: np.ndarray, k: int, measure: Measure, rows: int) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast((q_ids, queries))
+def nearest_by(queries: np.ndarray, q_groups: np.ndarray | None, base: np.ndarray, groups: np.ndarray | None, ids: np.ndarray, k: int, measure: Measure) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """nearest() inside groups, and each result's group: with q_groups a query meets its own group only, else every group has results of its own."""
+    if groups is None:
+        return *nearest(queries, base, ids, k, measure), np.zeros(0, np.int64)
+    out = []
+    for g in np.unique(groups):
+        mine, asked = np.flatnonzero(groups == g), np.arange(len(queries)) if q_groups is None else np.flatnonzero(q_groups == g)
+        row, found, dist = nearest(queries[asked], base[mine], ids[mine], k, measure)
+        out.append((asked[row], found, dist, np.full(len(row), g)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+
+
+def _best(row: np.ndarray, ids: np.ndarray, dist: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each row (and group, if there are groups)."""
+    keys = (ids, dist, group, row) if len(group) else (ids, dist, row)
+    order = np.lexsort(keys)
+    row, ids, dist, group = row[order], ids[order], dist[order], group[order] if len(group) else group
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | ((group[1:] != group[:-1]) if len(group) else False)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)) if len(row) else row
+    keep = np.arange(len(row)) - first < k
+    return row[keep], ids[keep], dist[keep], group[keep] if len(group) else group
+
+
+_FOUND = RESULT_SCHEMA + ", grp bigint"
+
+
+def _batch(q_ids: np.ndarray, held: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    group = pa.array(held[3]) if len(held[3]) else pa.nulls(len(held[0]), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[held[0]]), pa.array(held[1]), pa.array(held[2]), group], names=["q_id", "vec_id", "dist", "grp"])
+
+
+def _numbers(col: pa.Array, given: bool) -> np.ndarray | None:
+    """Groups as numbers; a null group is the least number, which no other row should have."""
+    return pc.fill_null(col, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False) if given else None
+
+
+def _one_block(base: DataFrame, block: pa.Table, k: int, measure: Measure, rows: int, grouped: bool, own: bool) -> DataFrame:
+    """All queries, a block, sent along to every base partition."""
+    queries = vectors_of(block["embedding"])
+    q_groups = _numbers(block["grp"].combine_chunks(), own) if len(block) else None
+    shared = base.sparkSession.sparkContext.broadcast((block["q_id"].to_numpy(), queries, q_groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, queries = shared.value
+        q_ids, queries, q_groups = shared.value
         if not len(q_ids):
             return
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        none = np.zeros(0, np.int64)
+        held = (none, none, np.zeros(0), none)
         step = max(1, rows // max(1, len(queries)))
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(1)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                found = nearest(queries, vectors_of(part.column(1), queries.shape[1]), part.column(0).to_numpy(), k, measure)
-                row, ids, dist = (np.concatenate(x) for x in zip(held, found, strict=True))
-                order = np.lexsort((ids, dist, row))
-                row, ids, dist = row[order], ids[order], dist[order]
-                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                held = [row[keep], ids[keep], dist[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["q_id", "vec_id", "dist"])
+                found = nearest_by(queries, q_groups, vectors_of(part.column(1), queries.shape[1]), _numbers(part.column(2), grouped), part.column(0).to_numpy(), k, measure)
+                held = _best(*(np.concatenate(x) for x in zip(held, found, strict=True)), k)
+        yield _batch(q_ids, held)
 
-    return base.mapInArrow(run, RESULT_SCHEMA)
+    return base.mapInArrow(run, _FOUND)
 
 
-def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of at most `block` queries at a time (rows dealt by a hash of the id)."""
-    queries = queries.where("embedding IS NOT NULL")
-    n = queries.count()
-    parts = max(1, -(-n // max(1, block // 2))) if n > block else 1
-    for k in range(parts):
-        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == k)
-        got = some.toArrow()
-        yield got["q_id"].to_numpy(), vectors_of(got["embedding"])
+_PACKED = "ids array<bigint>, vectors array<double>, groups array<bigint>"
+
+
+def packed(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """Rows of up to `rows` ids, vectors (end to end) and groups, packed inside each partition; null vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            values = vectors_of(table.column(1)).ravel()
+            cells = [table.column(0).combine_chunks(), pa.array(values), table.column(2).combine_chunks()]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cells], names=["ids", "vectors", "groups"])
+
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            for at in range(0, batch.num_rows, rows):
+                held.append(batch.slice(at, rows))
+                if sum(b.num_rows for b in held) >= rows:
+                    yield flush()
+                    held = []
+        if any(b.num_rows for b in held):
+            yield flush()
+
+    return df.select(id_col, "embedding", "grp").mapInArrow(run, _PACKED)
+
+
+def _many_blocks(base: DataFrame, queries: DataFrame, n: int, block: int, k: int, measure: Measure, rows: int, grouped: bool, own: bool) -> DataFrame:
+    """Queries as a table: its partitions, a block or so each, meet the base's partitions pair by pair."""
+    asked = packed(queries.repartition(-(-n // block)), "q_id", block)
+    pairs = packed(base, "vec_id", block).crossJoin(asked.toDF("q_ids", "q_vectors", "q_groups"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, vectors, groups, q_ids, q_vectors, q_groups = (c[at].values for c in batch.columns)
+                x, q = vectors.to_numpy().reshape(len(ids), -1), q_vectors.to_numpy().reshape(len(q_ids), -1)
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError("vectors differ in length")
+                step, own_groups, base_groups = max(1, rows // len(q)), _numbers(q_groups, own), _numbers(groups, grouped)
+                none = np.zeros(0, np.int64)
+                held = (none, none, np.zeros(0), none)
+                for first in range(0, len(x), step):
+                    some = slice(first, first + step)
+                    found = nearest_by(q, own_groups, x[some], base_groups[some] if grouped else None, ids.to_numpy()[some], k, measure)
+                    held = _best(*(np.concatenate(y) for y in zip(held, found, strict=True)), k)
+                yield _batch(q_ids.to_numpy(), held)
+
+    return pairs.mapInArrow(run, _FOUND)
 
 
 def brute_force(
     base: DataFrame, queries: DataFrame, k: int = 100, measure: Measure | str = Measure.EUCLIDEAN, strategy: str = "arrow",
     id_col: str = "vec_id", vec_col: str = "embedding", query_id: str | None = None, query_vec: str | None = None, dims: int | None = None, query_block: int = 4096,
+    by: str | None = None, shard_size: int | None = None,
 ) -> DataFrame:
     """Rows (q_id, vec_id, dist, rk): the k nearest rows of base for each query row.
 
-    arrow: blocks of queries of a fixed size go to every base partition, which sends k rows per
-    query on; base is read where it lies and never broadcast. sql: a plain cross join for Catalyst
-    (sums unrolled if dims is given). Self is not left out; rows with null vectors
-    or NaN distances never match; fewer than k rows give fewer results.
+    arrow: up to query_block queries go to every base partition, which sends k rows per query on; base is read where it
+    lies. More queries stay a table whose blocks meet the base's partitions on the executors. sql: a plain cross join for
+    Catalyst (sums unrolled if dims is given and at most 32). by: a column (bigint or int) of both; a query meets rows of its
+    own value only, null meets null never. shard_size: ranges of so many ids have k results each (with shard_id).
+    Self is not left out; rows with null vectors or NaN distances never match; fewer than k rows give fewer results.
     """
     measure = Measure.of(measure)
     check_query(k)
-    base = base.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).alias("embedding"))
-    queries = queries.select(F.col(query_id or id_col).cast("bigint").alias("q_id"), F.col(query_vec or vec_col).alias("embedding"))
+    if by is not None and shard_size is not None:
+        raise ValueError("by and shard_size exclude each other")
+    group = F.col(by) if by else F.floor(F.col(id_col) / F.lit(shard_size)) if shard_size else F.lit(None)
+    base = base.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).alias("embedding"), group.cast("bigint").alias("grp"))
+    queries = queries.select(F.col(query_id or id_col).cast("bigint").alias("q_id"), F.col(query_vec or vec_col).alias("embedding"), (F.col(by) if by else F.lit(None)).cast("bigint").alias("grp")).where("embedding IS NOT NULL")
+    if by:
+        base, queries = base.where("grp IS NOT NULL"), queries.where("grp IS NOT NULL")
     if strategy == "sql":
-        pairs = queries.withColumnRenamed("embedding", "q").crossJoin(base.withColumnRenamed("embedding", "b"))
-        pairs = pairs.select("q_id", "vec_id", distance(F.col("q"), F.col("b"), measure, dims).alias("dist")).where("dist IS NOT NULL AND NOT isnan(dist)")
-        return top_k(pairs, k)
-    if strategy != "arrow":
+        pairs = queries.select("q_id", F.col("embedding").alias("q"), F.col("grp").alias("g")).crossJoin(base.withColumnRenamed("embedding", "b"))
+        pairs = pairs.where("g = grp") if by else pairs
+        pairs = pairs.select("q_id", "vec_id", distance(F.col("q"), F.col("b"), measure, dims).alias("dist"), "grp").where("dist IS NOT NULL AND NOT isnan(dist)")
+    elif strategy == "arrow":
+        few = queries.limit(query_block + 1).toArrow()
+        log.info("brute force: %d queries%s", len(few), " at least" if len(few) > query_block else "")
+        if len(few) <= query_block:
+            pairs = _one_block(base, few, k, measure, 4_000_000, by is not None or shard_size is not None, by is not None)
+        else:
+            pairs = _many_blocks(base, queries, queries.count(), query_block, k, measure, 4_000_000, by is not None or shard_size is not None, by is not None)
+    else:
         raise ValueError("strategy must be arrow or sql")
-    out = None
-    for ids, vectors in query_blocks(queries, query_block):
-        log.info("brute force: %d queries", len(ids))
-        part = _arrow_block(base, ids, vectors, k, measure, 4_000_000)
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k)
+    if shard_size:
+        return top_k(pairs.withColumn("shard_id", F.col("grp").cast("int")).drop("grp"), k, ["q_id", "shard_id"])
+    return top_k(pairs.drop("grp"), k)
