@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..types import GRAPH_SCHEMA, EngineConfig, Measure, check_build, check_query, log
-from .exact import brute_force, nearest, query_blocks, top_k, vectors_of
+from ..types import GRAPH_SCHEMA, MAX_VECTORS, EngineConfig, Measure, check_build, check_query, log
+from .exact import brute_force, nearest, pair_distances, top_k, vectors_of
 from .kernel import Builder, Space, search_shard
 from .sharding import shard_of
 
@@ -21,6 +21,8 @@ def _build_shard(measure: Measure, k: int, tau: float, refinements: int):
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id").combine_chunks()
         ids, shard = table["vec_id"].to_numpy(), table["shard_id"][0].as_py()
+        if len(ids) > MAX_VECTORS:
+            raise ValueError(f"{len(ids)} vectors in a shard are more than {MAX_VECTORS}")
         names = [f.name for f in _GRAPH]
         try:
             g = Builder(vectors_of(table["embedding"]), measure, k, tau, refinements).build()
@@ -158,6 +160,16 @@ class VectorIndex:
         self, queries: DataFrame, k_query: int = 10, tau_query: float = 0.64, max_iterations: int = 400, measure: Measure | str | None = None, merge: bool = True, id_col: str = "vec_id", vec_col: str = "embedding",
     ) -> DataFrame:
         """Approximate neighbours (q_id, vec_id, dist, rk). merge=False keeps k_query of every shard, in one order with shard_id."""
+        out = self._hits(queries, k_query, tau_query, max_iterations, measure, id_col, vec_col, False)
+        return top_k(out.drop("shard_id"), k_query) if merge else top_k(out, (1 << 31) - 1)
+
+    def distance_counts(self, queries: DataFrame, k_query: int = 10, tau_query: float = 0.64, max_iterations: int = 400, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+        """Rows (q_id, shard_id, n_distances): how many distances a search of each shard computes for each query."""
+        out = self._hits(queries, k_query, tau_query, max_iterations, None, id_col, vec_col, True)
+        return out.select("q_id", "shard_id", F.col("vec_id").alias("n_distances"))
+
+    def _hits(self, queries: DataFrame, k_query: int, tau_query: float, max_iterations: int, measure: Measure | str | None, id_col: str, vec_col: str, count: bool) -> DataFrame:
+        """Each shard's results (q_id, shard_id, vec_id, dist); count: the number of distances as vec_id, once a query."""
         check_query(k_query, tau_query, max_iterations)
         measure = Measure.of(measure or self.params.get("measure", "euclidean"))
         if "measure" in self.params and measure.value != self.params["measure"]:
@@ -166,34 +178,51 @@ class VectorIndex:
         graph = self._built()
         starts = graph.where("layer = 3").select("shard_id", F.col("translation").alias("node_id")).distinct().withColumn("start", F.lit(True))
         rows = graph.where("layer = 0").select("shard_id", "node_id", "vec_id", "neighbors", "nn1_max").join(starts, ["shard_id", "node_id"], "left").join(self._needed(), "vec_id")
-        out = None
-        for ids, vectors in query_blocks(asked, self.config.query_block):
-            part = rows.groupBy("shard_id").applyInArrow(_search(self.spark, ids, vectors, k_query, tau_query, max_iterations, measure), "q_id bigint, shard_id int, vec_id bigint, dist double")
-            out = part if out is None else out.unionByName(part)
-        return top_k(out.drop("shard_id"), k_query) if merge else top_k(out, (1 << 31) - 1)
+        asked = asked.where("embedding IS NOT NULL")
+        few, block = asked.limit(self.config.query_block + 1).toArrow(), self.config.query_block
+        search = _search(k_query, tau_query, max_iterations, measure, count)
+        if len(few) <= block:
+            shared = self.spark.sparkContext.broadcast((few["q_id"].to_numpy(), vectors_of(few["embedding"])))
+            out = rows.groupBy("shard_id").applyInArrow(lambda table: search(table, *shared.value), _HITS)
+        else:
+            # Queries stay a table: each shard meets each block of them in a group of its own.
+            blocks = -(-asked.count() // block)
+            # Shard numbers and block numbers alone are sent along.
+            shards, numbers = F.broadcast(rows.select(F.col("shard_id").alias("of_shard")).distinct()), F.broadcast(self.spark.range(blocks).select(F.col("id").cast("int").alias("of_block")))
+            dealt = asked.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).crossJoin(shards)
+            met = rows.crossJoin(numbers).groupBy("shard_id", "of_block").cogroup(dealt.groupBy("of_shard", "block"))
+            out = met.applyInArrow(lambda left, right: search(left, right["q_id"].to_numpy(), vectors_of(right["embedding"])), _HITS)
+        return out
 
     def bf_query(self, queries: DataFrame, k_gt: int = 100, measure: Measure | str = Measure.EUCLIDEAN, **options) -> DataFrame:
         """Exact neighbours over the whole base, all shards."""
         return brute_force(self._needed(), queries, k_gt, measure, **options)
 
 
-def _search(spark: SparkSession, ids: np.ndarray, vectors: np.ndarray, k: int, tau: float, rounds: int, measure: Measure):
-    shared = spark.sparkContext.broadcast((ids, vectors))
+_HITS = "q_id bigint, shard_id int, vec_id bigint, dist double"
+
 
-    def search(table: pa.Table) -> pa.Table:
-        q_ids, queries = shared.value
+def _search(k: int, tau: float, rounds: int, measure: Measure, count: bool):
+    def search(table: pa.Table, q_ids: np.ndarray, queries: np.ndarray) -> pa.Table:
+        if not len(table) or not len(q_ids):
+            return pa.table({"q_id": pa.array([], pa.int64()), "shard_id": pa.array([], pa.int32()), "vec_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
         table = table.sort_by("node_id").combine_chunks()
         vec_ids, base = table["vec_id"].to_numpy(), vectors_of(table["embedding"])
         nn1 = table["nn1_max"][0].as_py()
+        counts = np.zeros(len(q_ids), dtype=np.int64)
         if nn1 is None or nn1 != nn1:
             row, found, dist = nearest(queries, base, vec_ids, k, measure)
+            counts += len(base)
         else:
             edges = table["neighbors"].combine_chunks()
             graph = edges.flatten().to_numpy().reshape(len(table), -1).astype(np.int64)
             starts = np.flatnonzero(table["start"].fill_null(False).to_numpy(zero_copy_only=False))
-            row, point, dist = search_shard(Space(base, measure), graph, starts, nn1, queries, k, tau, rounds)
-            found = vec_ids[point]
+            row, point, dist = search_shard(Space(base, measure), graph, starts, nn1, queries, k, tau, rounds, counts=counts)
+            # The same sums as in exact search, so that equal pairs have equal distances.
+            found, dist = vec_ids[point], pair_distances(queries[row], base[point], measure)
         shard = table["shard_id"][0].as_py()
+        if count:
+            row, found, dist = np.arange(len(q_ids)), counts, np.zeros(len(q_ids))
         return pa.table({"q_id": q_ids[row], "shard_id": pa.array(np.full(len(row), shard, dtype=np.int32)), "vec_id": found, "dist": dist})
 
     return search
