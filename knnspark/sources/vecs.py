@@ -167,12 +167,17 @@ class _Writer(DataSourceArrowWriter):
                     system.delete_file(old.path)
         for k, path in enumerate(kept):
             system.move(path, f"{at}/part-{k:05d}.{self.kind}")
+        self._drop_attempts(system, at)
 
     def abort(self, messages: list[_Message | None]) -> None:
-        system, _ = _open(self.path)
-        for m in messages:
-            if m is not None and m.path:
-                system.delete_file(m.path)
+        self._drop_attempts(*_open(self.path))
+
+    @staticmethod
+    def _drop_attempts(system: fs.FileSystem, at: str) -> None:
+        """Files that failed or doubled attempts have left."""
+        for old in system.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if old.path.rsplit("/", 1)[-1].startswith("_try-"):
+                system.delete_file(old.path)
 
 
 def register_sources(spark: SparkSession) -> None:
