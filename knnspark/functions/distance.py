@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..types import Measure
 
-#: Up to so many dimensions a sum is written out term by term in generated code (longer ones overflow its compiler).
+#: Up to so many dimensions a sum is written out term by term in generated code; longer ones overflow its compiler and are folded over the arrays.
 UNROLL = 32
 #: Share of the way to the other point at which a half point lies.
 HALF = 0.5 - 0.1
@@ -65,6 +65,25 @@ def slack(nn1: Column | float, tau: float, measure: Measure | str) -> Column:
     return scaled * scaled if Measure.of(measure) is Measure.EUCLIDEAN else scaled
 
 
+def _folds() -> dict[str, str]:
+    """SQL of a distance of arrays a and b, by measure."""
+    fold = "aggregate(zip_with(a, b, (x, y) -> {f}), 0D, (s, x) -> s + x)"
+    dot_, aa, bb = fold.format(f="x * y"), "aggregate(a, 0D, (s, x) -> s + x * x)", "aggregate(b, 0D, (s, x) -> s + x * x)"
+    return {"euclidean": fold.format(f="(x - y) * (x - y)"), "cosine": f"CASE WHEN {aa} * {bb} > 0 THEN abs(1 - {dot_} / sqrt({aa} * {bb})) WHEN {aa} * {bb} <= 0 THEN 1D END"}
+
+
+def register_knn(spark: SparkSession, name: str, view: str, measure: Measure | str = Measure.EUCLIDEAN, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """A table function name(query, k) over a view, for SQL: SELECT q.*, n.* FROM queries q, LATERAL name(q.embedding, 10) n.
+
+    Rows (vec_id, dist, rk) by (dist, vec_id). A plan of Catalyst's own: all queries of the statement against all rows of the view.
+    """
+    if not all(x.replace("_", "a").isalnum() for x in (name, view, id_col, vec_col)):
+        raise ValueError("names must be plain identifiers")
+    pairs = f"SELECT CAST({id_col} AS BIGINT) AS vec_id, {_folds()[Measure.of(measure).value]} AS dist FROM (SELECT {id_col}, CAST({vec_col} AS ARRAY<DOUBLE>) AS a, query AS b FROM {view} WHERE {vec_col} IS NOT NULL)"
+    ranked = f"SELECT vec_id, dist, CAST(row_number() OVER (ORDER BY dist, vec_id) AS BIGINT) AS rk FROM ({pairs}) WHERE dist IS NOT NULL AND NOT isnan(dist)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, k INT) RETURNS TABLE(vec_id BIGINT, dist DOUBLE, rk BIGINT) RETURN SELECT vec_id, dist, rk FROM ({ranked}) WHERE rk <= k")
+
+
 def register_functions(spark: SparkSession) -> None:
     """vec_l2, vec_cosine, vec_norm2 and vec_half for SQL, as expressions that Catalyst inlines."""
     fold = "aggregate(zip_with({a}, {b}, (x, y) -> {f}), 0D, (s, x) -> s + x)"
