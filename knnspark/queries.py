@@ -10,15 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.distance import HALF, distance, half_point, l2, norm2, register_functions
+from .functions.distance import HALF, distance, half_point, l2, norm2, register_functions, register_knn
 from .operators import layers, sharding
 from .operators.evaluate import Evaluator, duplicate_ends
 from .operators.exact import brute_force, top_k
 from .operators.index import VectorIndex, wide_results
 from .plans.graph_config import GraphConfig
+from .plans.sizing import shard_bytes, shard_size_for
 from .sources.scratch import scratch_path
 from .sources.vecs import read_vecs, write_vecs
-from .types import EngineConfig, Measure
+from .types import MAX_ITERATIONS, EngineConfig, Measure, log
 
 EVERY, K, SHARD, K_BUILD, DIMS = 20, 10, 128, 24, 64
 ANN_SHARD = 1000
@@ -85,11 +86,18 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT vec_id, vec_l2(embedding, embedding) AS self_l2, vec_cosine(embedding, vec_half(embedding, embedding)) AS self_cosine, vec_norm2(embedding) AS norm2 FROM {b}", b=base(spark, sf_dir))
 
 
+def knn_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search written in SQL alone, through a table function over a view."""
+    b = base(spark, sf_dir)
+    b.createOrReplaceTempView("knn_table_function_base")
+    asked(b).createOrReplaceTempView("knn_table_function_queries")
+    register_knn(spark, "knn_of_base", "knn_table_function_base")
+    return spark.sql(f"SELECT q.vec_id AS q_id, n.vec_id, n.dist, n.rk FROM knn_table_function_queries q, LATERAL knn_of_base(CAST(q.embedding AS ARRAY<DOUBLE>), {K}) n")
+
+
 def _shard_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = sharding.with_shards(base(spark, sf_dir), SHARD)
-    q = asked(base(spark, sf_dir)).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    pairs = q.crossJoin(b).select("q_id", "shard_id", "vec_id", distance(F.col("q"), F.col("embedding"), "euclidean", DIMS).alias("dist"))
-    return sharding.shard_top_k(pairs, K)
+    b = base(spark, sf_dir)
+    return brute_force(b, asked(b), K, shard_size=SHARD)
 
 
 def sharded_partial_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,9 +233,7 @@ def wide_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest rows of the query's own label: predicates come before the search."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("q_id"), "label", F.col("embedding").alias("q"))
-    pairs = q.join(e, "label").select("q_id", "vec_id", distance(F.col("q"), F.col("embedding"), "euclidean", DIMS).alias("dist"))
-    return _result(top_k(pairs, K))
+    return _result(brute_force(e, asked(e), K, by="label"))
 
 
 def _index(spark: SparkSession, sf_dir: str, measure: str, shard: int = ANN_SHARD, k_build: int = K_BUILD) -> tuple[VectorIndex, DataFrame]:
@@ -263,6 +269,74 @@ def ann_store_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return other.query(q, K, 0.64, 400)
 
 
+def ann_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search so wide that it is exact: a large slack, the most iterations, more results than are kept."""
+    index, q = _index(spark, sf_dir, "euclidean")
+    return _result(index.query(q, 20 * K, 20.0, MAX_ITERATIONS).where(F.col("rk") <= K))
+
+
+def ann_exhaustive_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, q = _index(spark, sf_dir, "cosine")
+    return _result(index.query(q, 20 * K, 20.0, MAX_ITERATIONS).where(F.col("rk") <= K))
+
+
+def ann_exhaustive_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shard searched so, the results merged."""
+    index, q = _index(spark, sf_dir, "euclidean", 256, 10)
+    return _result(index.query(q, 20 * K, 20.0, MAX_ITERATIONS).where(F.col("rk") <= K))
+
+
+def ann_distance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Such a search computes each point's distance at most once, and those of a quarter of the points at least."""
+    index, q = _index(spark, sf_dir, "euclidean")
+    n = index.base.count()
+    per = index.distance_counts(q, 20 * K, 20.0, MAX_ITERATIONS).groupBy("q_id").agg(F.sum("n_distances").alias("n"))
+    return per.select("q_id", ((F.col("n") <= n) & (4 * F.col("n") >= n)).alias("in_bounds"))
+
+
+def ann_start_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where searches start: the base ids of the top layer."""
+    index = VectorIndex(spark).set_base(base(spark, sf_dir)).build(K_BUILD, 0.5, 0)
+    return index.graph(None).where("layer = 3").select(F.col("node_id").cast("bigint").alias("node"), F.col("vec_id").alias("translation"))
+
+
+def ann_nn1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and largest nearest distance, as the last merge of a refined build finds them."""
+    index = VectorIndex(spark).set_base(base(spark, sf_dir)).build(K_BUILD, 2.0, 2)
+    return index.nn1_stats().select(F.round("nn1_mean", 6).alias("nn1_mean"), F.round("nn1_max", 6).alias("nn1_max"))
+
+
+def ann_store_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a stored and loaded graph lacks or has beyond the built one, and whether there are any."""
+    index, _ = _index(spark, sf_dir, "euclidean")
+    path = index.store(scratch_path(spark, "graph"))
+    other = VectorIndex(spark, index.config).set_base(base(spark, sf_dir)).load(K_BUILD, path)
+    names = ["shard_id", "layer", "node_id", "vec_id", "neighbors", "selection", "translation"]
+    built, loaded = index.graph(None).select(*names), other.graph(None).select(*names)
+    return spark.range(1).select(F.lit(built.exceptAll(loaded).count()).cast("bigint").alias("missing"), F.lit(loaded.exceptAll(built).count()).cast("bigint").alias("extra"), F.lit(loaded.count() > 0).alias("filled"))
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each kind of index finds nine of ten true neighbours at tau 0.64: recall c@10 over all queries."""
+    b = base(spark, sf_dir)
+    rows = []
+    for name, search in (("cosine", ann_query_cosine), ("euclidean", ann_query_l2), ("loaded", ann_store_load), ("sharded", ann_query_sharded)):
+        found = search(spark, sf_dir)
+        found = top_k(found.select("q_id", "vec_id", "dist"), K) if name == "sharded" else found
+        truth = brute_force(b, asked(b), K, "cosine" if name == "cosine" else "euclidean")
+        share = Evaluator(truth, K).evaluate_results(found).head()["c_k_query"]
+        log.info("recall of %s: %.4f", name, share)
+        rows.append((name, share >= 0.9))
+    return spark.createDataFrame(rows, "setting string, reached boolean")
+
+
+def shard_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a shard that fit in 1 to 64 MB, by the table's dimensions."""
+    dims = base(spark, sf_dir).agg(F.max(F.size("embedding"))).head()[0]
+    rows = [(m, shard_bytes(n := shard_size_for(m << 20, dims, K_BUILD), dims, K_BUILD) <= (m << 20) * 7 // 8 < shard_bytes(n + 64, dims, K_BUILD)) for m in (1, 4, 16, 64)]
+    return spark.createDataFrame(rows, "megabytes bigint, fits boolean")
+
+
 def vecs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors written as fvecs and read back: ids, first components and norms."""
     path = f"{scratch_path(spark, 'vecs')}/{uuid.uuid4().hex}.fvecs"
@@ -273,7 +347,7 @@ def vecs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "bf_knn_l2": _bf("euclidean"), "bf_knn_cosine": _bf("cosine"), "bf_knn_uint8_l2": _bf("euclidean", source=byte_base), "bf_knn_l2_k100": _bf("euclidean", 100),
     "bf_knn_ties": _bf("euclidean", source=tie_base), "bf_knn_l2_sql": _bf("euclidean", strategy="sql", dims=DIMS), "bf_knn_cosine_sql": _bf("cosine", strategy="sql", dims=DIMS),
-    "pairwise_l2": pairwise_l2, "vector_norms": vector_norms, "half_point_distance": half_point_distance, "base_row_range": base_row_range, "sql_functions": sql_functions,
+    "pairwise_l2": pairwise_l2, "vector_norms": vector_norms, "half_point_distance": half_point_distance, "base_row_range": base_row_range, "sql_functions": sql_functions, "knn_table_function": knn_table_function,
     "sharded_partial_topk": sharded_partial_topk, "sharded_merge_topk": sharded_merge_topk, "sharded_unmerged": sharded_unmerged,
     "graph_config_layers": graph_config_layers, "segment_assignment": segment_assignment, "ancestor_segment": ancestor_segment, "segment_knn_graph": segment_knn_graph,
     "segment_nn1": segment_nn1, "nn1_stats": nn1_stats, "xi_values": xi_values, "layer_selection": layer_selection, "layer_translation": layer_translation, "start_points": start_points,
@@ -281,6 +355,8 @@ QUERIES = {
     "gt_duplicate_ends": _ends(base, 20, K), "gt_duplicate_ends_ties": _ends(tie_base, 30, K), "eval_metrics": _judged(base, 20, K), "eval_metrics_dup": _judged(tie_base, 30, K), "eval_metrics_strict": _judged(tie_base, 30, K, True),
     "wide_knn": wide_knn, "filtered_knn": filtered_knn, "vecs_round_trip": vecs_round_trip,
     "ann_query_l2": ann_query_l2, "ann_query_cosine": ann_query_cosine, "ann_query_sharded": ann_query_sharded, "ann_build_graph": ann_build_graph, "ann_store_load": ann_store_load,
+    "ann_exhaustive": ann_exhaustive, "ann_exhaustive_cosine": ann_exhaustive_cosine, "ann_exhaustive_sharded": ann_exhaustive_sharded, "ann_distance_counts": ann_distance_counts, "ann_start_points": ann_start_points,
+    "ann_nn1": ann_nn1, "ann_store_equal": ann_store_equal, "ann_recall": ann_recall, "shard_sizing": shard_sizing,
 }
 
 
@@ -370,7 +446,7 @@ _HALF = f"list_transform(list_zip(q.embedding, b.embedding), lambda x: x[1]::DOU
 
 SQL = {
     "bf_knn_l2": _knn_sql(), "bf_knn_cosine": _knn_sql(_cos), "bf_knn_uint8_l2": _knn_sql(source=_BYTES), "bf_knn_l2_k100": _knn_sql(k=100), "bf_knn_ties": _knn_sql(source=_TIES),
-    "bf_knn_l2_sql": _knn_sql(), "bf_knn_cosine_sql": _knn_sql(_cos),
+    "bf_knn_l2_sql": _knn_sql(), "bf_knn_cosine_sql": _knn_sql(_cos), "knn_table_function": _knn_sql(),
     "pairwise_l2": f"SELECT q.vec_id AS q_id, b.vec_id AS vec_id, sqrt({_l2('q.embedding', 'b.embedding')}) AS dist FROM embeddings q, embeddings b WHERE q.vec_id % {EVERY} = 0",
     "vector_norms": _NORMS, "vecs_round_trip": _NORMS,
     "half_point_distance": f"SELECT q_id, vec_id, {_l2('h', 'e')} AS dist FROM (SELECT q.vec_id AS q_id, b.vec_id AS vec_id, b.embedding AS e, {_HALF} AS h FROM embeddings q, embeddings b WHERE q.vec_id % {EVERY} = 0)",
@@ -394,5 +470,12 @@ SQL = {
     "eval_metrics": _judge_sql("embeddings", 20, K), "eval_metrics_dup": _judge_sql(_TIES, 30, K), "eval_metrics_strict": _judge_sql(_TIES, 30, K, True),
     "wide_knn": f"SELECT q_id, string_agg(vec_id::VARCHAR, ',' ORDER BY rk) AS ids FROM ({_knn_sql()}) GROUP BY q_id",
     "filtered_knn": _knn_sql(where="q.label = b.label"),
+    "ann_exhaustive": _knn_sql(), "ann_exhaustive_cosine": _knn_sql(_cos), "ann_exhaustive_sharded": _knn_sql(),
+    "ann_distance_counts": f"SELECT vec_id AS q_id, true AS in_bounds FROM embeddings WHERE vec_id % {EVERY} = 0",
+    "ann_start_points": f"{_ONE}, {_edge_sql('one', 'edges1')}, {_select_sql('edges1', 1, 'up2')}, two AS (SELECT up2.node, one.vec_id, one.embedding, up2.node // 32 AS segment FROM up2 JOIN one ON one.node = up2.selection), {_edge_sql('two', 'edges2')}, {_select_sql('edges2', 2, 'up3')} SELECT up3.node, two.vec_id AS translation FROM up3 JOIN two ON two.node = up3.selection",
+    "ann_nn1": f"SELECT round(avg(d), 6) AS nn1_mean, round(max(d), 6) AS nn1_max FROM (SELECT min(d) AS d FROM (SELECT a.vec_id, sqrt({_l2('a.embedding', 'b.embedding')}) AS d FROM embeddings a, embeddings b) WHERE d > 0 GROUP BY vec_id)",
+    "ann_store_equal": "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, true AS filled",
+    "ann_recall": "SELECT unnest(['cosine', 'euclidean', 'loaded', 'sharded']) AS setting, true AS reached",
+    "shard_sizing": "SELECT unnest([1, 4, 16, 64])::BIGINT AS megabytes, true AS fits",
 }
 __all__ = ["QUERIES", "SQL", "Measure"]
