@@ -48,6 +48,8 @@ def components(links: DataFrame) -> DataFrame:
     nothing; no links give no rows.
     """
     edges = written(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "links")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     mark = None
     while True:
         large = _star(edges, True)
