@@ -12,7 +12,7 @@ from .common import discard, written
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """parents (node, label), one row a node and label < node: each node with the root of its tree. The result is written.
+    """parents (node, label), one row a node, without circles: each node with the root of its tree. The result is written.
 
     Each round replaces a parent by its parent, which halves the distance to the root, until no parent has one.
     """

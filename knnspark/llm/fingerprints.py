@@ -166,7 +166,7 @@ def _id_ranges(ids: DataFrame, bucket_rows: int) -> tuple[list[int], list[int],
     return edges, heavy, max(1, whole["n"] // (bucket_rows * len(edges))), max(1, whole["none"] // bucket_rows)
 
 
-def with_next(docs: DataFrame, id_column: str, text: str, bucket_rows: int = 2000) -> DataFrame:
+def with_next(docs: DataFrame, id_column: str, text: str, bucket_rows: int = 1000) -> DataFrame:
     """Rows (_range, _halo, _id, _hash, _text, _next): the text of the next row in descending id order, after the last the first.
 
     Rows with equal ids follow by a hash of their text, then by the text; null ids come last. Rows are sorted inside ranges of

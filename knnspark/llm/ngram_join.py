@@ -9,9 +9,9 @@ modelled cost of listing pairs and scanning lists is least.
 
 Links are needed up to connectivity, so a list is first joined to one member (its pivot); lists that may be
 long are dealt over keys with a pivot each, and those pivots are joined to one of them. Each member is verified against the pivot it
-shares most lists with, which gives a forest, and its trees are contracted. After that only the lists that hold members of several
-trees are looked at again, and of those only pairs across trees that pass the positional bound are verified; that join has two plain sides,
-so adaptive execution can split long lists on both.
+shares most lists with, which gives a forest, and its trees are contracted. After that only lists that hold members of several
+trees are looked at again. A pair across trees that passes the positional bound is verified once: it comes from the list of the first
+shingle (of light sets: the first two) that both have. That join has two plain sides, so adaptive execution can split long lists on both.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,24 +145,30 @@ def boundary(sizes: list[tuple[int, int]], sketch: np.ndarray, percent: int) ->
     return best
 
 
+def _shared_sketch(rows: DataFrame, sketch: np.ndarray) -> Broadcast:
+    return rows.sparkSession.sparkContext.broadcast(sketch.astype(np.int32 if sketch.max(initial=0) < 1 << 31 else np.int64))
+
+
+def _in_order(row: np.ndarray, h: np.ndarray, rows: int, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and sketched count of the shingles of the rows' prefixes, rarest first (ties by hash), and the rows' set sizes."""
+    n = np.bincount(row, minlength=rows)
+    c = counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
+    order = np.lexsort((h, c, row))
+    row, h, c = row[order], h[order], c[order]
+    keep = np.arange(len(row)) - (np.cumsum(n) - n)[row] < np.minimum(n, n - _need(n, percent) + 2)[row]
+    return row[keep], h[keep], c[keep], n
+
+
 def _prefixes(rows: DataFrame, sketch: np.ndarray, words: int, percent: int, list_rows: int) -> DataFrame:
     """Per document its row key, set size and prefix, rarest first; spread: parts that a shingle's list is dealt over."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch.astype(np.int32 if sketch.max(initial=0) < 1 << 31 else np.int64))
+    shared = _shared_sketch(rows, sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        mean = counts.mean()
+        mean = shared.value.mean()
         for whole in batches:
             for batch in slices(whole, "text"):
                 buf, offsets = flat(batch.column(3))
-                row, h = shingle_sets(buf, offsets, words)
-                n = np.bincount(row, minlength=len(offsets) - 1)
-                c = counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
-                order = np.lexsort((h, c, row))
-                row, h, c = row[order], h[order], c[order]
-                first = np.cumsum(n) - n
-                keep = np.arange(len(row)) - first[row] < np.minimum(n, n - _need(n, percent) + 2)[row]
-                row, h, c = row[keep], h[keep], c[keep]
+                row, h, c, n = _in_order(*shingle_sets(buf, offsets, words), len(offsets) - 1, shared.value, percent)
                 ends = np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32)
                 spread = np.ceil(np.maximum(c - 2 * mean, 1) / list_rows).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -174,22 +181,22 @@ def _prefixes(rows: DataFrame, sketch: np.ndarray, words: int, percent: int, lis
 
 
 def _keys(prefixes: DataFrame, light: int, percent: int) -> DataFrame:
-    """List rows (key, base, node, n, room): room is the overlap still possible if the key's shingles are the first shared.
+    """List rows (key, base, node, n, room, other): room is the overlap still possible if the key's shingles are the first shared.
 
-    base is the shingle of a list that is dealt over several keys, else null.
+    base is the shingle of a list that is dealt over several keys, else null; other is the place of a pair's first shingle, else -1.
     """
     single = prefixes.where(F.expr(f"n > {light} OR n * 100 >= {percent * (light + 1)}")).where("n > 1")
     single = single.select("node", "n", F.posexplode(F.arrays_zip("prefix", "spread")).alias("at", "p")).where(F.expr(f"at < n - ceil({percent} * n / 100D) + 1"))
     token, parts = F.col("p.prefix"), F.col("p.spread")
     single = single.select(
         F.when(parts > 1, F.xxhash64(token, F.pmod(F.xxhash64("node"), parts))).otherwise(token).alias("key"), F.when(parts > 1, token).alias("base"),
-        "node", "n", (F.col("n") - F.col("at")).alias("room"),
+        "node", "n", (F.col("n") - F.col("at")).alias("room"), F.lit(-1).alias("other"),
     )
     dealt = "least(spread[i], spread[j])"
-    pair = f"named_struct('key', IF({dealt} > 1, xxhash64(2, prefix[i], prefix[j], pmod(xxhash64(node), {dealt})), xxhash64(2, prefix[i], prefix[j])), 'base', IF({dealt} > 1, xxhash64(2, prefix[i], prefix[j]), NULL), 'room', n - j + 1)"
+    pair = f"named_struct('key', IF({dealt} > 1, xxhash64(2, prefix[i], prefix[j], pmod(xxhash64(node), {dealt})), xxhash64(2, prefix[i], prefix[j])), 'base', IF({dealt} > 1, xxhash64(2, prefix[i], prefix[j]), NULL), 'room', n - j + 1, 'other', i)"
     pairs = f"flatten(transform(sequence(1, size(prefix) - 1), j -> transform(sequence(0, j - 1), i -> {pair})))"
     light_rows = prefixes.where(f"n > 1 AND n <= {light} AND size(prefix) > 1").select("node", "n", F.explode(F.expr(pairs)).alias("p"))
-    return single.unionByName(light_rows.select("p.key", "p.base", "node", "n", "p.room"))
+    return single.unionByName(light_rows.select("p.key", "p.base", "node", "n", "p.room", "p.other"))
 
 
 def _enough(a: str, b: str, percent: int) -> Column:
@@ -197,21 +204,30 @@ def _enough(a: str, b: str, percent: int) -> Column:
 
 
 def _starred(rows: DataFrame, by: str) -> DataFrame:
-    """The rows with their list's pivot, its member of least number, and the list's length."""
-    over = Window.partitionBy(by)
-    return rows.withColumn("pivot", F.min(F.struct("node", "n", "room")).over(over)).withColumn("members", F.count("*").over(over))
+    """The rows with their list's pivot, the member of least rank."""
+    return rows.withColumn("pivot", F.min(F.struct("rank", "node", "n", "room")).over(Window.partitionBy(by)))
+
+
+def _ranked(lists: DataFrame) -> DataFrame:
+    """The rows with their node's rank: minus the number of others it meets in its lists, each time it does.
+
+    Among near copies the one that shares most with the others comes first, and so is the pivot of all lists it is in.
+    """
+    ranks = written(lists.groupBy("node").agg((-F.sum(F.col("members") - 1)).alias("rank")), "ranks")
+    return lists.drop("members").join(ranks, "node")
 
 
 def _to_pivots(starred: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (x pivot, y member); x < y."""
+    """Candidate pairs (x pivot, y member); x comes before y in the order of (rank, node)."""
     pairs = starred.select(F.col("pivot").alias("a"), F.struct("node", "n", "room").alias("b")).where("a.node <> b.node").where(_enough("a", "b", percent))
     return pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
 
 
-def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The whole shingle sets (node, set) of the wanted nodes; repeated rows give a node more than once."""
+def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, sketch: np.ndarray | None = None, percent: int = 0) -> DataFrame:
+    """The whole shingle sets (node, set) of the wanted nodes, and with a sketch their prefixes; repeated rows give a node more than once."""
     chosen = nodes.select("node", "r1", "r2").join(wanted, "node")
     texts = rows.join(chosen, ["r1", "r2"]).select("node", "text")
+    shared = None if sketch is None else _shared_sketch(rows, sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -219,21 +235,38 @@ def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> D
                 buf, offsets = flat(batch.column(1))
                 row, h = shingle_sets(buf, offsets, words)
                 ends = np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, h.view(np.int64))], names=["node", "set"])
+                columns = [batch.column(0), pa.ListArray.from_arrays(ends, h.view(np.int64))]
+                if shared is not None:
+                    row, h, _, n = _in_order(row, h, len(offsets) - 1, shared.value, percent)
+                    columns.append(pa.ListArray.from_arrays(np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32), h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "set", "prefix"][: len(columns)])
         tidy()
 
-    return written(texts.mapInArrow(run, "node bigint, set array<bigint>"), "sets")
+    return written(texts.mapInArrow(run, "node bigint, set array<bigint>" + (", prefix array<bigint>" if shared is not None else "")), "sets")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets overlap enough; only the pairs' own sets are made."""
-    pairs = written(pairs, "pairs")
-    sets = _sets(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), rows, nodes, words)
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose whole sets overlap enough."""
     left = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("a")), "x")
     both = left.join(sets.select(F.col("node").alias("y"), F.col("set").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
-    out = written(both.where((100 + percent) * shared >= percent * (F.size("a") + F.size("b"))).select("x", "y").distinct(), "verified")
-    discard(pairs, sets)
+    return written(both.where((100 + percent) * shared >= percent * (F.size("a") + F.size("b"))).select("x", "y").distinct(), "verified")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after the links (x, y) between nodes, written."""
+    x, y = (labels.select(F.col("node").alias(n), F.col("label").alias(f"_{n}")) for n in ("x", "y"))
+    ends = links.join(x, "x").join(y, "y").select(F.col("_x").alias("x"), F.col("_y").alias("y"))
+    tops = written(components(ends), "tops").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return written(labels.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+
+
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (list, node, n, room, other, label) of lists with members of several components, written."""
+    marked = written(lists.select("list", "node", "n", "room", "other").join(labels, "node"), "marked")
+    several = marked.groupBy("list").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("list")
+    out = written(marked.join(written(several, "several"), "list", "left_semi"), "open")
+    discard(marked)
     return out
 
 
@@ -256,31 +289,36 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "d
     sizes = [(r["n"], r["count"]) for r in nodes.groupBy("n").count().collect()]
     light = boundary(sizes, sketch, percent)
     prefixes = _prefixes(rows, sketch, words, percent, list_rows).join(nodes.select("node", "r1", "r2"), ["r1", "r2"]).select("node", "n", "prefix", "spread")
-    lists = written(_starred(_keys(prefixes, light, percent), "key").where("members > 1 OR base IS NOT NULL"), "lists")
-    far = _starred(lists.where("base IS NOT NULL AND node = pivot.node").select("base", "node", "n", "room"), "base")
-    # A member's best pivot is the one it shares most lists with: one smaller node for each, so the links are a forest.
+    met = written(_keys(prefixes, light, percent).withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1 OR base IS NOT NULL"), "met")
+    lists = written(_starred(_ranked(met), "key"), "lists")
+    discard(met)
+    far = _starred(lists.where("base IS NOT NULL AND node = pivot.node").select("base", "rank", "node", "n", "room"), "base")
+    # A member's best pivot is the one it shares most lists with: one node before it in the order, so the links are a forest.
     counted = _to_pivots(lists, percent).unionByName(_to_pivots(far, percent)).groupBy("x", "y").agg(F.count("*").alias("c"))
     best = counted.groupBy("y").agg(F.max(F.struct("c", (-F.col("x")).alias("x"))).alias("b")).select((-F.col("b.x")).alias("x"), "y")
-    links = _verified(best, rows, nodes, words, percent)
+    best = written(best, "best")
+    sets = _sets(best.select(F.explode(F.array("x", "y")).alias("node")).distinct(), rows, nodes, words)
+    links = _verified(best, sets, percent)
+    discard(best, sets)
     trees = roots(links.select(F.col("y").alias("node"), F.col("x").alias("label")))
-    # Lists whose members are not of one tree.
-    marked = lists.select(F.coalesce("base", "key").alias("list"), "node", "n", "room").join(trees, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    marked = written(marked, "marked")
-    open_lists = marked.groupBy("list").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("list")
-    open_rows = written(marked.join(open_lists, "list", "left_semi"), "open")
-    discard(lists, links, marked)
-    across = open_rows.alias("a").join(open_rows.alias("b"), F.expr("a.list = b.list AND a.node < b.node AND a.label <> b.label") & _enough("a", "b", percent)).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
-    more = _verified(across, rows, nodes, words, percent)
-    label_of = trees.select(F.col("node").alias("tree_node"), "label")
-    ends = more.join(label_of, F.col("x") == F.col("tree_node"), "left").select(F.coalesce("label", "x").alias("x"), "y")
-    ends = ends.join(label_of, F.col("y") == F.col("tree_node"), "left").select("x", F.coalesce("label", "y").alias("y"))
-    merged = written(components(ends), "merged").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    labels = written(nodes.select("node").join(trees, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    open_rows = _open(lists.select(F.coalesce("base", "key").alias("list"), "node", "n", "room", "other"), labels)
+    discard(lists, links)
+    sets = _sets(open_rows.select("node").distinct(), rows, nodes, words, sketch, percent)
+    # The shingles that come before a list's own ones.
+    place = "n - room + IF(other >= 0, 1, 0)"
+    ordered = sets.select("node", "prefix").dropDuplicates(["node"])
+    sided = written(open_rows.join(ordered, "node").withColumn("before", F.expr(f"filter(slice(prefix, 1, {place}), (x, k) -> k <> other)")).drop("prefix"), "sided")
+    first = F.expr("NOT arrays_overlap(a.before, b.before)")
+    across = sided.alias("a").join(sided.alias("b"), F.expr("a.list = b.list AND a.node < b.node AND a.label <> b.label") & _enough("a", "b", percent) & first).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+    pairs = written(across, "pairs")
+    more = _verified(pairs, sets, percent)
+    labels = _merged(labels, more)
     # Labels back to ids: the least id of each component's documents.
-    of_node = nodes.join(trees, "node", "left").withColumn("label", F.coalesce("label", "node")).join(merged, "label", "left").select("h1", "h2", "n", F.coalesce("top", "label").alias("label"), "own")
-    of_node = written(of_node, "of_node")
+    of_node = written(nodes.join(labels, "node").select("h1", "h2", "n", "label", "own"), "of_node")
     least = written(of_node.groupBy("label").agg(F.min("own").alias("component_id")), "least")
     named = written(of_node.join(least, "label").select("h1", "h2", "n", "component_id"), "named")
-    discard(open_rows, more, nodes, of_node, least)
+    discard(open_rows, sided, sets, pairs, more, nodes, labels, of_node, least)
     joined = members.join(named, ["h1", "h2", "n"], "left")
     out = joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "r1", "r2")
     return out if keys else out.drop("r1", "r2")
