@@ -378,6 +378,15 @@ def test_suffix_dedup_of_long_strings(spark, length):
         suffix_dedup.dedup(df, length=suffix_dedup.LONGEST + 1)
 
 
+def test_frequent_anchor_bitmap(spark):
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    words = suffix_dedup._bitmap(spark.createDataFrame([(int(x),) for x in hashes.view(np.int64)], "r bigint"))
+    assert suffix_dedup._marked(words, hashes).all()
+    assert suffix_dedup._marked(words, rng.integers(0, 2**64, 100_000, dtype=np.uint64)).mean() < 0.005
+    assert suffix_dedup._bitmap(spark.createDataFrame([], "r bigint")) is None
+
+
 def test_window_buckets():
     rng = np.random.default_rng(1)
     buf = rng.integers(0, 2, 3000).astype(np.uint8)
