@@ -10,8 +10,9 @@ modelled cost of listing pairs and scanning lists is least.
 Links are needed up to connectivity, so a list is first joined to one member (its pivot); lists that may be
 long are dealt over keys with a pivot each, and those pivots are joined to one of them. Each member is verified against the pivot it
 shares most lists with, which gives a forest, and its trees are contracted. After that only lists that hold members of several
-trees are looked at again. A pair across trees that passes the positional bound is verified once: it comes from the list of the first
-shingle (of light sets: the first two) that both have. That join has two plain sides, so adaptive execution can split long lists on both.
+trees are looked at again, and pairs across trees that pass the positional bound are verified. Such a pair is taken from a list only if none of
+the BEFORE lists that come before it, for both, is common to them; the first common list, to which the bound applies, is never
+left out. That join has two plain sides, so adaptive execution can split long lists on both.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import discard, flat, mix64, slices, span_hashes, tidy, word_spans,
 from .components import components, roots
 
 SKETCH, SLOT = 1 << 20, 1 << 12
+#: Earlier lists that a row of a list remembers.
+BEFORE = 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -223,11 +226,10 @@ def _to_pivots(starred: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
 
 
-def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, sketch: np.ndarray | None = None, percent: int = 0) -> DataFrame:
-    """The whole shingle sets (node, set) of the wanted nodes, and with a sketch their prefixes; repeated rows give a node more than once."""
+def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The whole shingle sets (node, set) of the wanted nodes; repeated rows give a node more than once."""
     chosen = nodes.select("node", "r1", "r2").join(wanted, "node")
     texts = rows.join(chosen, ["r1", "r2"]).select("node", "text")
-    shared = None if sketch is None else _shared_sketch(rows, sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -235,14 +237,10 @@ def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, sket
                 buf, offsets = flat(batch.column(1))
                 row, h = shingle_sets(buf, offsets, words)
                 ends = np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)
-                columns = [batch.column(0), pa.ListArray.from_arrays(ends, h.view(np.int64))]
-                if shared is not None:
-                    row, h, _, n = _in_order(row, h, len(offsets) - 1, shared.value, percent)
-                    columns.append(pa.ListArray.from_arrays(np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32), h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "set", "prefix"][: len(columns)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, h.view(np.int64))], names=["node", "set"])
         tidy()
 
-    return written(texts.mapInArrow(run, "node bigint, set array<bigint>" + (", prefix array<bigint>" if shared is not None else "")), "sets")
+    return written(texts.mapInArrow(run, "node bigint, set array<bigint>"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -304,11 +302,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "d
     labels = written(nodes.select("node").join(trees, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     open_rows = _open(lists.select(F.coalesce("base", "key").alias("list"), "node", "n", "room", "other"), labels)
     discard(lists, links)
-    sets = _sets(open_rows.select("node").distinct(), rows, nodes, words, sketch, percent)
-    # The shingles that come before a list's own ones.
-    place = "n - room + IF(other >= 0, 1, 0)"
-    ordered = sets.select("node", "prefix").dropDuplicates(["node"])
-    sided = written(open_rows.join(ordered, "node").withColumn("before", F.expr(f"filter(slice(prefix, 1, {place}), (x, k) -> k <> other)")).drop("prefix"), "sided")
+    sets = _sets(open_rows.select("node").distinct(), rows, nodes, words)
+    # A node's lists of one kind in the order of their shingles.
+    order = Window.partitionBy("node", F.col("other") >= 0).orderBy(F.desc("room"), "other").rowsBetween(-BEFORE, -1)
+    sided = written(open_rows.withColumn("before", F.collect_list("list").over(order)), "sided")
     first = F.expr("NOT arrays_overlap(a.before, b.before)")
     across = sided.alias("a").join(sided.alias("b"), F.expr("a.list = b.list AND a.node < b.node AND a.label <> b.label") & _enough("a", "b", percent) & first).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
     pairs = written(across, "pairs")
