@@ -211,13 +211,13 @@ def _starred(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("pivot", F.min(F.struct("rank", "node", "n", "room")).over(Window.partitionBy(by)))
 
 
-def _ranked(lists: DataFrame) -> DataFrame:
-    """The rows with their node's rank: minus the number of others it meets in its lists, each time it does.
+def _ranked(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with their node's rank, and the written table of ranks: minus the number of others it meets in its lists, each time it does.
 
     Among near copies the one that shares most with the others comes first, and so is the pivot of all lists it is in.
     """
     ranks = written(lists.groupBy("node").agg((-F.sum(F.col("members") - 1)).alias("rank")), "ranks")
-    return lists.drop("members").join(ranks, "node")
+    return lists.drop("members").join(ranks, "node"), ranks
 
 
 def _to_pivots(starred: DataFrame, percent: int) -> DataFrame:
@@ -263,8 +263,9 @@ def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (list, node, n, room, other, label) of lists with members of several components, written."""
     marked = written(lists.select("list", "node", "n", "room", "other").join(labels, "node"), "marked")
     several = marked.groupBy("list").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("list")
-    out = written(marked.join(written(several, "several"), "list", "left_semi"), "open")
-    discard(marked)
+    several = written(several, "several")
+    out = written(marked.join(several, "list", "left_semi"), "open")
+    discard(marked, several)
     return out
 
 
@@ -288,8 +289,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "d
     light = boundary(sizes, sketch, percent)
     prefixes = _prefixes(rows, sketch, words, percent, list_rows).join(nodes.select("node", "r1", "r2"), ["r1", "r2"]).select("node", "n", "prefix", "spread")
     met = written(_keys(prefixes, light, percent).withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1 OR base IS NOT NULL"), "met")
-    lists = written(_starred(_ranked(met), "key"), "lists")
-    discard(met)
+    ranked, ranks = _ranked(met)
+    lists = written(_starred(ranked, "key"), "lists")
+    discard(met, ranks)
     far = _starred(lists.where("base IS NOT NULL AND node = pivot.node").select("base", "rank", "node", "n", "room"), "base")
     # A member's best pivot is the one it shares most lists with: one node before it in the order, so the links are a forest.
     counted = _to_pivots(lists, percent).unionByName(_to_pivots(far, percent)).groupBy("x", "y").agg(F.count("*").alias("c"))
@@ -302,20 +304,23 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "d
     labels = written(nodes.select("node").join(trees, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     open_rows = _open(lists.select(F.coalesce("base", "key").alias("list"), "node", "n", "room", "other"), labels)
     discard(lists, links)
-    sets = _sets(open_rows.select("node").distinct(), rows, nodes, words)
     # A node's lists of one kind in the order of their shingles.
     order = Window.partitionBy("node", F.col("other") >= 0).orderBy(F.desc("room"), "other").rowsBetween(-BEFORE, -1)
     sided = written(open_rows.withColumn("before", F.collect_list("list").over(order)), "sided")
+    discard(open_rows)
+    sets = _sets(sided.select("node").distinct(), rows, nodes, words)
     first = F.expr("NOT arrays_overlap(a.before, b.before)")
     across = sided.alias("a").join(sided.alias("b"), F.expr("a.list = b.list AND a.node < b.node AND a.label <> b.label") & _enough("a", "b", percent) & first).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
     pairs = written(across, "pairs")
+    discard(sided)
     more = _verified(pairs, sets, percent)
+    discard(sets, pairs)
     labels = _merged(labels, more)
     # Labels back to ids: the least id of each component's documents.
     of_node = written(nodes.join(labels, "node").select("h1", "h2", "n", "label", "own"), "of_node")
     least = written(of_node.groupBy("label").agg(F.min("own").alias("component_id")), "least")
     named = written(of_node.join(least, "label").select("h1", "h2", "n", "component_id"), "named")
-    discard(open_rows, sided, sets, pairs, more, nodes, labels, of_node, least)
+    discard(more, nodes, labels, of_node, least)
     joined = members.join(named, ["h1", "h2", "n"], "left")
     out = joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "r1", "r2")
     return out if keys else out.drop("r1", "r2")
