@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -356,6 +357,25 @@ def test_suffix_dedup(spark, docs, monkeypatch):
         suffix_dedup.dedup(docs, length=20)
 
 
+def test_suffix_dedup_disk(spark, docs, monkeypatch):
+    """A task's runs make one blob a part however many slices it reads, and anchors are gone once the windows are settled."""
+    rng = random.Random(3)
+    at = list(range(0, 1_400_000, 1000))
+    texts = ["".join(rng.choices("abcdefgh ", k=1_400_050)) for _ in range(4)]
+    found = spark.createDataFrame([(k, k, t, at, [10] * len(at)) for k, t in enumerate(texts)], "r bigint, id bigint, text string, a array<int>, dm array<int>").coalesce(1)
+    assert max(r["count"] for r in suffix_dedup._window_rows(found, 50, 40, None).groupBy("part").count().collect()) == 1
+    names = lambda: sorted(p.split("/")[-1] for _, p in made)
+    made, real = [], suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: made.append((out := real(df, name), out.written_to)) or out)
+    left = suffix_dedup.dedup(docs)
+    gone = {p.split("/")[-1] for t, p in made if not os.path.exists(p.removeprefix("file:"))}
+    assert names() == ["anchors", "per_row", "spans", "texts"] and gone == {"anchors", "per_row"}
+    # Many flushes a task find what one finds.
+    want = Counter((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in left.collect())
+    monkeypatch.setattr(suffix_dedup, "HOLD", 1)
+    assert Counter((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()) == want
+
+
 @pytest.mark.parametrize("length", [32, 100, 270, 271, 400, 600])
 def test_suffix_dedup_of_long_strings(spark, length):
     rng = random.Random(length)
