@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from knnspark import brute_force, from_numpy
+from knnspark import EngineConfig, VectorIndex, brute_force, from_numpy
 from knnspark.operators import exact
+from knnspark.operators.kernel import Builder, Ranks, Space, _searched, ranked_search, search_shard
 from knnspark.types import Measure
 
 
@@ -22,6 +23,41 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("measure", [Measure.EUCLIDEAN, Measure.COSINE])
+def test_ranks_search_as_distances_do(measure, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 6))
+    x[40:60] = x[60:80]
+    made = Builder(x, measure, 10, 0.5, 1).build()
+    space, queries, starts = Space(x, measure), rng.random((20, 6)), np.unique(made.translation[3])
+    many = np.broadcast_to(starts, (20, len(starts)))
+    for k, tau, width in ((5, 0.64, 32), (100, 20.0, 128)):
+        counts = np.zeros(20, np.int64), np.zeros(20, np.int64)
+        want = _searched(space, made.neighbors[0], starts, queries, width, k, made.nn1[1] * tau, 400, tau, counts[0])
+        got = ranked_search(space, Ranks.of(space.table(queries)), made.neighbors[0], many, width, k, made.nn1[1] * tau, 400, tau, counts[1])
+        assert (want[1] == got[1]).all() and np.allclose(want[0], got[0]) and (counts[0] == counts[1]).all()
+    monkeypatch.setattr("knnspark.operators.kernel.TABLE", 0)
+    slow = Builder(x, measure, 10, 0.5, 1).build()
+    assert all((a == b).all() for a, b in zip(slow.neighbors, made.neighbors, strict=True)) and np.allclose(slow.nn1, made.nn1)
+    found = search_shard(space, made.neighbors[0], starts, made.nn1[1], queries, 5, 0.64, 400)
+    monkeypatch.undo()
+    assert (found[1] == search_shard(space, made.neighbors[0], starts, made.nn1[1], queries, 5, 0.64, 400)[1]).all()
+
+
+def test_index_spreads_shards(spark, base):
+    """Adaptive execution does not join tasks by their bytes, and nothing built is broadcast; small broadcast times do no harm."""
+    q = base.where("vec_id % 20 = 0")
+    index = VectorIndex(spark, EngineConfig(shard_size=50, query_block=4)).set_base(base).build(10, 0.5, 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(index.query(q, 5))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastExchange" not in text and text.count("REPARTITION_BY_NUM") >= 2
+    assert rows(index.query(q, 20, 5.0, 400, keep=3)) == [r for r in rows(index.query(q, 20, 5.0, 400)) if r[1] <= 3]
+
+
 def test_copies_meet_once(spark, base, monkeypatch):
     """Of each vector the k least ids take part, and one query for all its copies."""
     some = base.where("vec_id < 20")
