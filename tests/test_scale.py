@@ -93,3 +93,23 @@ def test_all_pairs(spark, base):
     x = np.array([r["embedding"] for r in base.orderBy("vec_id").collect()], dtype=float)
     assert got == {(k, j, float(exact.pair_distances(x[k : k + 1], x[j : j + 1], Measure.EUCLIDEAN)[0])) for k in range(0, 300, 20) for j in range(300)}
     assert exact.uniform(base) and not exact.uniform(base.union(spark.createDataFrame([(999, [1.0])], base.schema)))
+
+
+def test_start_points_without_the_graph(spark, base):
+    """The top layer's points from tables are the built graph's, with ids in a row or not."""
+    for some in (base, base.where("vec_id % 3 <> 1")):
+        index = VectorIndex(spark).set_base(some).build(10, 0.5, 0)
+        want = index.graph(None).where("layer = 3").select("shard_id", "node_id", "vec_id")
+        assert sorted(map(tuple, index.start_points().collect())) == sorted(map(tuple, want.collect()))
+        assert "FlatMapGroupsInArrow" not in plan(index.start_points())
+
+
+def test_nearest_distances_are_exact(spark):
+    """Merges miss some nearest points of 600 in 32 dimensions; copies count as many times and are not each other's nearest."""
+    x = np.random.default_rng(5).standard_normal((600, 32)).astype(np.float32)
+    x[7] = x[8]
+    far = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
+    far[far == 0] = np.inf
+    want = np.sqrt(far.min(1))
+    row = VectorIndex(spark).set_base(from_numpy(spark, x)).build(10, 0.0, 1).nn1_stats().head()
+    assert np.allclose((row["nn1_mean"], row["nn1_max"]), (want.mean(), want.max()), rtol=1e-12)
